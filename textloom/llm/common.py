@@ -1,7 +1,10 @@
 """Shared plumbing: table access, materialised steps in the shared folder, Arrow helpers."""
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
+import types
 import uuid
 import zlib
 
@@ -101,3 +104,22 @@ def segments(b: bytes, limit: int = 1 << 20):
 
 def arrow_rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def per_worker(key: str, make):
+    """make()'s value, kept for the life of the Python worker: the next tasks use it again."""
+    store = sys.modules.setdefault("_textloom_worker", types.ModuleType("_textloom_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def tokenizer_of(path: str):
+    """The tokenizer of a file, whole texts, one thread: Spark's tasks are the parallelism."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Step, id_text, text_batches
+from .common import Step, id_text, per_worker, text_batches, tokenizer_of
 
 #: Fixed: Unicode White_Space, at which byte-level pre-tokenizers cut.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -38,22 +38,20 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, batch_b
     """
 
     def cut(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer, known, chunk = Tokenizer.from_file(vocabulary), {}, re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer, known = per_worker(f"ids {vocabulary}", lambda: (tokenizer_of(vocabulary), {}))
+        chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         end, width = np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for ids, texts in text_batches(batches, batch_bytes):
             parts = [chunk(b.decode()) for b in texts]
             new = set(chain.from_iterable(parts)).difference(known)
             if len(known) + len(new) > cache_words:
-                known, new = {}, set(chain.from_iterable(parts))
+                known.clear()
+                new = set(chain.from_iterable(parts))
             new = list(new)
             for at in range(0, len(new), 20_000):
                 few = new[at : at + 20_000]
-                got = [e.ids for e in tokenizer.encode_batch(few, add_special_tokens=False)]
+                got = [e.ids for e in tokenizer.encode_batch_fast(few, add_special_tokens=False)]
                 flat, ends = np.fromiter(chain.from_iterable(got), "<u4").tobytes(), np.cumsum([4 * len(g) for g in got]).tolist()
                 known.update(zip(few, (flat[a:b] for a, b in zip([0, *ends], ends))))
             rows = [[], [], [], [], []]

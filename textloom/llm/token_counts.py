@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, id_text, segments, text_batches
+from .common import arrow_rows, id_text, per_worker, segments, text_batches, tokenizer_of
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
@@ -21,20 +21,16 @@ def token_counts(docs: DataFrame, vocabulary: str, batch_bytes: int = 2 << 20, c
     """doc_id, n_bytes, n_tokens of whole texts for a word-wise tokenizer file that drops white space."""
 
     def count(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer, known = Tokenizer.from_file(vocabulary), {}
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer, known = per_worker(f"lengths {vocabulary}", lambda: (tokenizer_of(vocabulary), {}))
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
         def lengths(parts):
-            nonlocal known
             new = set(chain.from_iterable(parts)).difference(known)
             if len(known) + len(new) > cache_words:
-                known, new = {}, set(chain.from_iterable(parts))
+                known.clear()
+                new = set(chain.from_iterable(parts))
             new = list(new)
-            known.update(zip(new, map(len, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False))))
+            known.update(zip(new, map(len, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
             return [sum(map(known.__getitem__, p)) for p in parts]
 
         for ids, texts in text_batches(batches, batch_bytes):
