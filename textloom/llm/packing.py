@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +26,55 @@ from .common import Step, id_text, per_worker, text_batches, tokenizer_of
 
 #: Fixed: Unicode White_Space, at which byte-level pre-tokenizers cut.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed: the pre-tokenization pattern of byte-level BPE.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, batch_bytes: int = 2 << 20, cache_words: int = 200_000) -> DataFrame:
-    """PIECES: ids of whole texts and the end id, in pieces of `capacity`; only the first piece of a longer one may be shorter.
+def encoder(vocabulary: str):
+    """text -> numpy ids, as the tokenizers library gives for a byte-level BPE file without normalizer (special strings become their ids).
 
-    A text is cut before each run of white space that follows something else: there the byte-level pre-tokenizer always cuts too,
-    so chunk ids join up to the ids of the text. Chunks met before come from a bounded cache.
+    Ids of such files follow the order of merges, so they serve as ranks of a faster encoder of the same vocabulary; a file whose
+    ids don't is encoded by the library itself.
     """
+    import json
+
+    spec = json.load(open(vocabulary))
+    vocab, pre = spec["model"]["vocab"], spec["pre_tokenizer"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    if pre != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"] or merged != sorted(merged):
+        tokenizer = tokenizer_of(vocabulary)
+        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    import tiktoken
+
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+    own = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: own.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
+def stretches(text: str, limit: int = 1 << 18):
+    """Parts of a long text, cut before white space that follows something else: there the pre-tokenizer always cuts too."""
+    cut, start = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])"), 0
+    while len(text) - start > limit and (m := cut.search(text, start + limit)):
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
+
+
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, batch_bytes: int = 2 << 20) -> DataFrame:
+    """PIECES: ids of whole texts and the end id, in pieces of `capacity`; only the first piece of a longer one may be shorter."""
 
     def cut(batches):
-        tokenizer, known = per_worker(f"ids {vocabulary}", lambda: (tokenizer_of(vocabulary), {}))
-        chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        encode = per_worker(f"ids {vocabulary}", lambda: encoder(vocabulary))
         end, width = np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for ids, texts in text_batches(batches, batch_bytes):
-            parts = [chunk(b.decode()) for b in texts]
-            new = set(chain.from_iterable(parts)).difference(known)
-            if len(known) + len(new) > cache_words:
-                known.clear()
-                new = set(chain.from_iterable(parts))
-            new = list(new)
-            for at in range(0, len(new), 20_000):
-                few = new[at : at + 20_000]
-                got = [e.ids for e in tokenizer.encode_batch_fast(few, add_special_tokens=False)]
-                flat, ends = np.fromiter(chain.from_iterable(got), "<u4").tobytes(), np.cumsum([4 * len(g) for g in got]).tolist()
-                known.update(zip(few, (flat[a:b] for a, b in zip([0, *ends], ends))))
             rows = [[], [], [], [], []]
-            for i, p in zip(ids, parts):
-                b = b"".join(map(known.__getitem__, p)) + end
+            for i, t in zip(ids, texts):
+                b = b"".join(encode(part).tobytes() for part in stretches(t.decode())) + end
                 first = len(b) % width or width
                 for k, (a, z) in enumerate(zip([0, *range(first, len(b), width)], [*range(first, len(b), width), len(b)])):
                     for column, value in zip(rows, (i, k, a // 4, (z - a) // 4, zlib.crc32(b[a:z]))):
@@ -177,19 +195,20 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
     plan = spark.sparkContext.broadcast(slots(solve(demand, capacity), capacity))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task at most
     offsets = counts.df.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    bases = offsets.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
+    offsets = offsets.select("part", "length", "base")
 
     def place(key, batch):
         length = batch.column("length").to_numpy()
-        base, order = dict(batch.column("bases")[0].as_py()), np.argsort(length, kind="stable")
+        base, order = batch.column("base").to_numpy(), np.argsort(length, kind="stable")
         runs = np.flatnonzero(np.r_[True, np.diff(length[order]) != 0, True])
         sequence, offset = np.empty_like(length), np.empty_like(length)
         for a, z in zip(runs[:-1], runs[1:]):
             of, n = order[a:z], int(length[order[a]])
-            rank = base[n] + np.arange(z - a)
+            rank = base[of[0]] + np.arange(z - a)
             first, start, at = plan.value[n]
             k = np.searchsorted(first, rank, side="right") - 1
             sequence[of], offset[of] = start[k] + rank - first[k], at[k]
-        return batch.drop_columns(["part", "bases"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return batch.drop_columns(["part", "base"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return step.df.join(bases, "part").groupBy("part").applyInArrow(place, PIECES + ", sequence_id long, offset long")
+    placed = step.df.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "part", "base")
+    return placed.groupBy("part").applyInArrow(place, PIECES + ", sequence_id long, offset long")
