@@ -3,8 +3,8 @@
 Every text is cut into passages of twice the longest item's words, half overlapping, so each copy of an item lies whole in some
 passage. A passage is a query against the items; it retrieves every item whose BM25 score is at least `threshold` of the score that
 the item's own words give. Scores are divided by that bound, so one threshold (1) serves all items and WAND's upper bounds are sums
-of per-term maxima. A first bound over all terms of a passage (the pivot test of WAND over whole lists) is taken in numpy for all
-passages at once; only those that can reach 1 run WAND over blocks. What is retrieved is verified on the words: five-word shingles of
+of per-term maxima. The maxima of blocks of `block` neighbouring items are summed in numpy for all passages of a text at once; only
+passages that can reach 1 in some block run WAND. What is retrieved is verified on the words: five-word shingles of
 question and answer (the item's last sentence) found in the passage.
 
 Items are indexed in blocks of at most `block_words` words, each broadcast on its own: a larger test set takes more passes, not more
@@ -13,6 +13,7 @@ memory. Items and texts without words, and null ids or texts, match nothing; rep
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ def split_item(text: str) -> tuple[str, str]:
 class Index:
     """Postings of items: for each term (item, weight), weights being BM25 over threshold times the item's own score; in blocks with their maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, k1: float = 1.2, b: float = 0.75, block: int = 32, shingle: int = 5):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, k1: float = 1.2, b: float = 0.75, block: int = 4, shingle: int = 5):
         self.items, self.shingle, self.block = [], shingle, block
         for item_id, text in items:
             if text and (words := words_of(text.encode())):
@@ -65,68 +66,63 @@ class Index:
             for k, x in p:
                 own[k] += idf[w] * x
         self.terms = {w: t for t, w in enumerate(found, 1)}  # 0: no item has the word
-        self.ids = [np.zeros(0, dtype=np.int64)] + [np.array([k for k, _ in p]) for p in found.values()]
-        self.weights = [np.zeros(0)] + [np.array([idf[w] * x / (threshold * own[k]) for k, x in p]) for w, p in found.items()]
-        self.most = np.array([w.max() if len(w) else 0.0 for w in self.weights])
-        self.block_most = [np.maximum.reduceat(w, np.arange(0, len(w), block)) if len(w) else w for w in self.weights]
+        self.ids = [[], *([k for k, _ in p] for p in found.values())]
+        self.weights = [[], *([idf[w] * x / (threshold * own[k]) for k, x in p] for w, p in found.items())]
+        self.most = [max(w, default=0.0) for w in self.weights]
+        self.bounds = np.zeros((len(self.ids), -(-n // block) if n else 1))  # of each term in each block of items
+        for t in range(1, len(self.ids)):
+            np.maximum.at(self.bounds[t], np.array(self.ids[t]) // block, self.weights[t])
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items that reach 1, by document-at-a-time WAND with block maxima."""
-        lists = [[int(self.ids[t][0]), t, 0] for t in terms]
-        found = []
-        while lists:
-            lists.sort()
-            bound, pivot = 0.0, -1
-            for n, (_, t, _) in enumerate(lists):
+        alive = np.flatnonzero(self.bounds[terms].sum(axis=0) >= 1 - 1e-9).tolist()  # blocks with a bound that suffices
+        lists, found, target = [[0, t, 0] for t in terms], [], 0
+        while True:
+            block = bisect_left(alive, target // self.block)
+            if block == len(alive):
+                return found
+            target = max(target, alive[block] * self.block)
+            for x in lists:
+                ids = self.ids[x[1]]
+                if x[2] < len(ids) and ids[x[2]] < target:
+                    x[2] = bisect_left(ids, target, x[2])
+                x[0] = ids[x[2]] if x[2] < len(ids) else -1
+            lists = sorted(x for x in lists if x[0] >= 0)
+            bound, pivot = 0.0, None
+            for first, t, _ in lists:
                 bound += self.most[t]
                 if bound >= 1 - 1e-9:
-                    pivot = n
+                    pivot = first
                     break
-            if pivot < 0:
-                break
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            limit, until = 0.0, len(self.items)
-            for first, t, at in lists[: pivot + 1]:
-                block = (at + int(np.searchsorted(self.ids[t][at:], item))) // self.block if first < item else at // self.block
-                if block < len(self.block_most[t]):
-                    limit += self.block_most[t][block]
-                    until = min(until, int(self.ids[t][min((block + 1) * self.block, len(self.ids[t])) - 1]) + 1)
-            if limit < 1 - 1e-9:
-                target = max(item + 1, min([until] + [x[0] for x in lists[pivot + 1 : pivot + 2]]))
-                target = max(target, item + 1)
-            elif lists[0][0] == item:
-                score = sum(self.weights[t][at] for first, t, at in lists[: pivot + 1])
-                if score >= 1 - 1e-9:
-                    found.append((item, float(score)))
-                target = item + 1
-            else:
-                target = item
-            for x in lists[: pivot + 1]:
-                if x[0] < target:
-                    x[2] += int(np.searchsorted(self.ids[x[1]][x[2] :], target))
-                    x[0] = int(self.ids[x[1]][x[2]]) if x[2] < len(self.ids[x[1]]) else -1
-            lists = [x for x in lists if x[0] >= 0]
-        return found
+            if pivot is None:
+                return found
+            if pivot // self.block > alive[block]:
+                target = pivot
+                continue
+            score = sum(self.weights[t][at] for first, t, at in lists if first == pivot) if lists[0][0] == pivot else -1.0
+            if score >= 1 - 1e-9:
+                found.append((pivot, score))
+            target = pivot + 1 if score >= 0 else pivot
 
 
 def search(index: Index, words: list[bytes]) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end) of every passage and item that reach the threshold."""
+    if not index.items:
+        return []
     get, width = index.terms.get, 2 * index.longest
     codes = np.array([get(w, 0) for w in words], dtype=np.int64)
-    at = np.flatnonzero(codes)
-    if not len(at):
-        return []
-    sums = np.concatenate([[0], np.cumsum(index.most[codes[at]])])
+    at, found = np.flatnonzero(codes), []
     starts = np.arange(0, max(len(words) - index.longest, 1), index.longest)
     low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + width)
-    found = []
-    for s, a, z in zip(starts, low, high):
-        if sums[z] - sums[a] >= 1 - 1e-6:
-            terms = np.unique(codes[at[a:z]])
-            if index.most[terms].sum() >= 1 - 1e-6:
-                found += [(item, score, int(s), int(min(s + width, len(words)))) for item, score in index.wand(terms.tolist())]
+    for first in range(0, len(starts), 256):  # stretches of passages bound the memory of long texts
+        a, z = low[first : first + 256], high[first : first + 256]
+        terms = codes[at[a[0] : z[-1]]]
+        sums = np.concatenate([np.zeros((1, index.bounds.shape[1])), np.cumsum(index.bounds[terms], axis=0)])
+        for k in np.flatnonzero((sums[z - a[0]] - sums[a - a[0]] >= 1 - 1e-6).any(axis=1)):
+            own = np.unique(codes[at[a[k] : z[k]]])
+            if (index.bounds[own].sum(axis=0) >= 1 - 1e-6).any():
+                start = int(starts[first + k])
+                found += [(item, score, start, min(start + width, len(words))) for item, score in index.wand(own.tolist())]
     return found
 
 
@@ -168,7 +164,7 @@ def matches(index: Index, b: bytes, overlap: float, answer_overlap: float) -> di
     return best
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, answer_overlap: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, answer_overlap: float = 0.5, block_words: int = 50_000) -> DataFrame:
     """The rows of docs, all columns, without a verified item; a pass for each block of items, no shuffle."""
 
     def passes(docs, index):
@@ -184,7 +180,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     return docs
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, answer_overlap: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, answer_overlap: float = 0.5, block_words: int = 50_000) -> DataFrame:
     """doc_id, item_id, score, item_overlap, question_overlap, answer_overlap, start_word: the best passage of each document and verified item."""
     docs = id_text(docs).where("doc_id is not null")
     schema = "doc_id long, item_id long, score double, item_overlap double, question_overlap double, answer_overlap double, start_word long"
