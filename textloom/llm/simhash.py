@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     joined = components(links(nodes.df, bucket))
     rep = nodes.df.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = rep.groupBy("component").agg(F.min("low").alias("component_id"))
-    return prints.df.join(rep.join(lowest, "component").select("fp", "component_id"), "fp")
+    found = Step(rep.join(lowest, "component").select("fp", "component_id"), "fp-components")  # a plain exchange for the join below
+    return prints.df.join(found.df, "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
