@@ -13,15 +13,18 @@ Null texts are empty (the end mark alone is scored); ids may repeat or be null;
 """
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import Step, partitions, text_batches
+from .substring import mix
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
-DEPTH, SHARE = 6, 2.0**-20
+DEPTH, SHARE = 6, 2.0**-19
 LEVEL = 57  # node keys have their depth above this bit, so depth is 6 at most
 
 
@@ -99,7 +102,7 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def weigh(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int) -> np.ndarray:
     """For each node (keys sorted) the CTW probability of a 1 for contexts whose kept path ends there."""
     level = keys >> LEVEL
-    kt, own = (ones + 0.5) / (zeros + ones + 1), log_kt(zeros.astype(float), ones.astype(float))
+    kt, own = (ones + 0.5) / (zeros + ones + 1), np.concatenate([log_kt(zeros[a : a + 100_000].astype(float), ones[a : a + 100_000].astype(float)) for a in range(0, len(keys), 100_000)])
     weighted, log_beta = own.copy(), np.full(len(keys), np.inf)
     rest0, rest1, parent = zeros.astype(float), ones.astype(float), np.full(len(keys), -1)
     for d in range(depth, 0, -1):
@@ -125,80 +128,104 @@ def weigh(keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int) ->
     return np.clip(gathered + carry * np.where(np.isinf(log_beta), kt, stay * kt + (1 - stay) * pooled), 1e-12, 1 - 1e-12)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Non-negative 64-bit integers by byte planes, deflated."""
+    return zlib.compress(x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unsqueeze(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def train(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted node keys and probabilities from docs (doc_id, text: no nulls in text)."""
-    spark = docs.sparkSession
+    spark, near, parts = docs.sparkSession, 8 * (depth - 2), partitions(docs.sparkSession)
 
     def count(batches):
-        from .common import text_batches
-
         total = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+
+        def flush():
+            # a row for each part: contexts that share their nearest three bytes go to one part
+            part = (mix((total[0] >> near).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ends = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = [(p, order[a:z]) for p, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
+            columns = [pa.array([p for p, _ in rows], type=pa.int32()), pa.array([int(total[1][o].sum()) for _, o in rows], type=pa.int64())]
+            columns += [pa.array([squeeze(np.diff(total[0][o], prepend=0)) for _, o in rows], type=pa.binary()), pa.array([squeeze(total[1][o]) for _, o in rows], type=pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "n", "grams", "counts"])
+
         for _, texts in text_batches(batches):
             for keys, _, _ in grams_of(texts, depth):
                 u, n = np.unique(keys, return_counts=True)
                 total = add_up(np.concatenate([total[0], u]), np.concatenate([total[1], n]))
                 if len(total[0]) > 3_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["gram", "n"])
+                    yield flush()
                     total = total[0][:0], total[1][:0]
         if len(total[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in total], names=["gram", "n"])
-
-    from .common import Step
+            yield flush()
 
-    grams = Step(docs.mapInArrow(count, "gram long, n long"), "byte-grams")
+    grams = Step(docs.mapInArrow(count, "part int, n long, grams binary, counts binary"), "byte-grams")
     n_bytes = grams.df.agg(F.sum("n")).first()[0] or 0
     least = max(2.0, share * n_bytes)
-    near = 8 * (depth - 2)
 
     def nodes(batches):
-        parts = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        if not parts:
+        # Spark may deal several parts to one task; their contexts stay apart, so they can be counted together
+        keys, counts = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        for batch in batches:
+            some = [(np.cumsum(unsqueeze(g.as_py())), unsqueeze(c.as_py())) for g, c in zip(batch.column("grams"), batch.column("counts"))]
+            if some:
+                keys, counts = add_up(np.concatenate([keys, *(k for k, _ in some)]), np.concatenate([counts, *(c for _, c in some)]))
+        if not len(keys):
             return
-        keys, counts = add_up(*(np.concatenate(x) for x in zip(*parts)))
         names = ["key", "zeros", "ones"]
         for d in range(3, depth + 1):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in bit_nodes(keys, counts, depth, d, least)], names=names)
         low, n = add_up((keys >> 8 * (depth - 1)) << 8 | (keys & 255), counts)  # (two bytes, byte): the upper levels
         yield pa.RecordBatch.from_arrays([pa.array(low - (1 << 62)), pa.array(n), pa.array(n)], names=names)
 
-    found = grams.df.repartition(partitions(spark), F.expr(f"shiftright(gram, {near})")).mapInArrow(nodes, "key long, zeros long, ones long")
+    found = grams.df.select("part", "grams", "counts").repartition(parts, "part").mapInArrow(nodes, "key long, zeros long, ones long")
     kept = found.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     grams.drop()
-    key, zeros, ones = (kept.column(c).to_numpy().astype(np.int64) for c in ("key", "zeros", "ones"))
+    return tree(*(kept.column(c).to_numpy() for c in ("key", "zeros", "ones")), depth, least)
+
+
+def tree(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted node keys and probabilities from nodes of depth 3 and more and, below zero, grams of two bytes and a byte."""
     upper = key < 0
     low, n = add_up(key[upper] + (1 << 62), zeros[upper])
     levels = [(key[~upper], zeros[~upper], ones[~upper])] + [bit_nodes(low, n, 2, d, least) for d in (1, 2)]
-    every = np.arange(1, 256, dtype=np.int64)  # the root's nodes are all there, seen or not
     k0, z0, o0 = bit_nodes(low, n, 2, 0, 0)
     zero, one = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
     np.add.at(zero, k0, z0)
     np.add.at(one, k0, o0)
-    levels.append((every, zero[1:], one[1:]))
+    levels.append((np.arange(1, 256, dtype=np.int64), zero[1:], one[1:]))  # the root's nodes are all there, seen or not
     key, zeros, ones = (np.concatenate(x) for x in zip(*levels))
+    del levels
     order = np.argsort(key)
     key, zeros, ones = key[order], zeros[order], ones[order]
-    return key, weigh(key, zeros, ones, depth).astype(np.float64)
+    return key, weigh(key, zeros, ones, depth)
 
 
 def gram_scores(grams: np.ndarray, model: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
     """log10 probability of each gram's byte in its context; grams sorted."""
     keys, ones = model
-    symbol, score = grams & 255, np.zeros(len(grams))
+    symbol, score, deepest = grams & 255, np.zeros(len(grams)), np.full(len(grams), depth, dtype=np.int8)
     bounds = np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << LEVEL)
     for bit in range(7, -1, -1):
         prefix, p = (1 << (7 - bit)) | (symbol >> (bit + 1)), np.empty(len(grams))
-        left = np.arange(len(grams))
         for d in range(depth, -1, -1):
+            left = np.flatnonzero(deepest == d)  # a path that ended at d for earlier bits goes no deeper for later ones
             a, z = bounds[d], bounds[d + 1]
+            if not len(left):
+                continue
             if a == z:
+                deepest[left] = d - 1
                 continue
             want = np.int64(d) << LEVEL | (grams[left] >> 8 * (depth - d + 1)) << 8 | prefix[left]
             at = np.searchsorted(keys[a:z], want) + a
             hit = keys[np.minimum(at, z - 1)] == want
             p[left[hit]] = ones[at[hit]]
-            left = left[~hit]
-            if not len(left):
-                break
+            deepest[left[~hit]] = d - 1
         score += np.log10(np.where(symbol >> bit & 1, p, 1 - p))
     return score
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import ctw
 from .common import Step, fold, fold_col, id_text, text_batches
 
-HOT = 2.0**-18
+HOT = 2.0**-20
 
 
 def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
@@ -45,7 +45,9 @@ def score(docs: DataFrame, depth: int = ctw.DEPTH, share: float = ctw.SHARE, hot
     words = Step(word_counts(training), "words")
     n_train, n_words = words.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = float(n_train + 0.5 * (n_words + 1))
-    common = spark.sparkContext.broadcast({bytes(w): float(np.log10((n + 0.5) / below)) for w, n in words.df.where(F.col("n") >= max(1, hot * n_train)).collect()})
+    often = words.df.where(F.col("n") >= max(1, hot * n_train)).toArrow()
+    logs = np.log10((often.column("n").to_numpy() + 0.5) / below).tolist()
+    common = spark.sparkContext.broadcast(dict(zip(often.column("word").to_pylist(), logs)))
 
     def run(batches):
         from pyspark import TaskContext
