@@ -137,12 +137,12 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def train(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted node keys and probabilities from docs (doc_id, text: no nulls in text)."""
+def train(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> tuple[np.ndarray, ...]:
+    """The model, as with_bytes gives it, from docs (doc_id, text: no nulls in text)."""
     spark, near, parts = docs.sparkSession, 8 * (depth - 2), partitions(docs.sparkSession)
 
     def count(batches):
-        total = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        total, waiting = (np.array([], dtype=np.int64), np.array([], dtype=np.int64)), []
 
         def flush():
             # a row for each part: contexts that share their nearest three bytes go to one part
@@ -156,11 +156,14 @@ def train(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> tuple[np
 
         for _, texts in text_batches(batches):
             for keys, _, _ in grams_of(texts, depth):
-                u, n = np.unique(keys, return_counts=True)
-                total = add_up(np.concatenate([total[0], u]), np.concatenate([total[1], n]))
-                if len(total[0]) > 3_000_000:
-                    yield flush()
-                    total = total[0][:0], total[1][:0]
+                waiting.append(np.unique(keys, return_counts=True))
+                if sum(len(u) for u, _ in waiting) > 4_000_000:
+                    total = add_up(*(np.concatenate(x) for x in zip(total, *waiting)))
+                    waiting.clear()
+                    if len(total[0]) > 3_000_000:
+                        yield flush()
+                        total = total[0][:0], total[1][:0]
+        total = add_up(*(np.concatenate(x) for x in zip(total, *waiting)))
         if len(total[0]):
             yield flush()
 
@@ -186,7 +189,7 @@ def train(docs: DataFrame, depth: int = DEPTH, share: float = SHARE) -> tuple[np
     found = grams.df.select("part", "grams", "counts").repartition(parts, "part").mapInArrow(nodes, "key long, zeros long, ones long")
     kept = found.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     grams.drop()
-    return tree(*(kept.column(c).to_numpy() for c in ("key", "zeros", "ones")), depth, least)
+    return with_bytes(tree(*(kept.column(c).to_numpy() for c in ("key", "zeros", "ones")), depth, least), depth)
 
 
 def tree(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -206,30 +209,64 @@ def tree(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, least
     return key, weigh(key, zeros, ones, depth)
 
 
-def gram_scores(grams: np.ndarray, model: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """log10 probability of each gram's byte in its context; grams sorted."""
-    keys, ones = model
-    symbol, score, deepest = grams & 255, np.zeros(len(grams)), np.full(len(grams), depth, dtype=np.int8)
-    bounds = np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << LEVEL)
+def _descend(grams: np.ndarray, deepest: np.ndarray, prefix: np.ndarray, keys: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
+    """Where each gram's deepest kept node for a prefix is, no deeper than `deepest`, which becomes its depth."""
+    where = np.empty(len(grams), dtype=np.int64)
+    for d in range(depth, -1, -1):
+        left = np.flatnonzero(deepest == d)
+        if not len(left):
+            continue
+        a, z = bounds[d], bounds[d + 1]
+        if a == z:
+            deepest[left] = d - 1
+            continue
+        want = np.int64(d) << LEVEL | (grams[left] >> 8 * (depth - d + 1)) << 8 | prefix[left]
+        at = np.searchsorted(keys[a:z], want) + a
+        hit = keys[np.minimum(at, z - 1)] == want
+        where[left[hit]] = at[hit]
+        deepest[left[~hit]] = d - 1
+    return where
+
+
+def _by_bits(grams: np.ndarray, deepest: np.ndarray, keys: np.ndarray, ones: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probabilities bit by bit; a path that ended at some depth for earlier bits goes no deeper for later ones."""
+    symbol, score, bounds = grams & 255, np.zeros(len(grams)), np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << LEVEL)
     for bit in range(7, -1, -1):
-        prefix, p = (1 << (7 - bit)) | (symbol >> (bit + 1)), np.empty(len(grams))
-        for d in range(depth, -1, -1):
-            left = np.flatnonzero(deepest == d)  # a path that ended at d for earlier bits goes no deeper for later ones
-            a, z = bounds[d], bounds[d + 1]
-            if not len(left):
-                continue
-            if a == z:
-                deepest[left] = d - 1
-                continue
-            want = np.int64(d) << LEVEL | (grams[left] >> 8 * (depth - d + 1)) << 8 | prefix[left]
-            at = np.searchsorted(keys[a:z], want) + a
-            hit = keys[np.minimum(at, z - 1)] == want
-            p[left[hit]] = ones[at[hit]]
-            deepest[left[~hit]] = d - 1
+        p = ones[_descend(grams, deepest, (1 << (7 - bit)) | (symbol >> (bit + 1)), keys, bounds, depth)]
         score += np.log10(np.where(symbol >> bit & 1, p, 1 - p))
     return score
 
 
+def with_bytes(model: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, ...]:
+    """The model with the scores of whole bytes whose nodes are all kept in one context: (keys, probabilities, byte keys, scores)."""
+    keys, ones = model
+    last = keys[keys & 128 > 0]
+    both = np.sort(np.concatenate([last & ~np.int64(255) | (last << 1 & 255), last & ~np.int64(255) | (last << 1 & 255) | 1]))
+    scores = np.empty(len(both))
+    for d in range(depth + 1):
+        own = both >> LEVEL == d
+        context = (both[own] & (1 << LEVEL) - 1) >> 8
+        scores[own] = _by_bits((context << 8 * (depth - d + 1)) | both[own] & 255, np.full(own.sum(), d, dtype=np.int8), keys, ones, depth)
+    return keys, ones, both, scores
+
+
+def gram_scores(grams: np.ndarray, model: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
+    """log10 probability of each gram's byte in its context; grams sorted. Bytes whose context has them whole take one search."""
+    keys, ones, whole, values = model
+    deepest, score = np.full(len(grams), depth, dtype=np.int8), np.empty(len(grams))
+    bounds = np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << LEVEL)
+    _descend(grams, deepest, np.ones(len(grams), dtype=np.int64), keys, bounds, depth)
+    slow = np.zeros(len(grams), dtype=bool)
+    for d in range(depth + 1):
+        left = np.flatnonzero(deepest == d)
+        want = np.int64(d) << LEVEL | (grams[left] >> 8 * (depth - d + 1)) << 8 | grams[left] & 255
+        at = np.minimum(np.searchsorted(whole, want), len(whole) - 1)
+        score[left] = values[at]
+        slow[left] = whole[at] != want
+    score[slow] = _by_bits(grams[slow], deepest[slow], keys, ones, depth)
+    return score
+
+
 def score_texts(texts: list[bytes], model, depth: int = DEPTH) -> np.ndarray:
     """log10 probability of each text with its end."""
     total = np.zeros(len(texts))
