@@ -11,6 +11,11 @@ NOT_WS = WS.replace("[", "[^", 1)
 STOP_MARKERS = ("<end_of_turn>", "<eos>", "<|im_end|>", "<|endoftext|>")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside a higher-order function a plain column would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({NOT_WS}+)"), F.lit(1))
 
@@ -38,11 +43,13 @@ def truncate_words(c: Column, n: int = 100) -> Column:
 
 def windowed_excerpts(c: Column, n: int = 100, windows: int = 3) -> Column:
     """Evenly spaced windows of n words; equal starts once; one window where n words or fewer, or where windows is 1."""
-    w = words(clean(c))
-    last = F.size(w) - n
-    starts = F.array_distinct(F.array(*[F.bround(F.lit(i) * last / F.lit(max(windows - 1, 1))).cast("int") for i in range(max(windows, 1))]))
-    many = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, n), " "))
-    return F.when((last <= 0) | F.lit(windows <= 1), F.array(F.array_join(F.slice(w, 1, n), " "))).otherwise(many)
+    def cut(w: Column) -> Column:
+        last = F.size(w) - n
+        starts = F.array_distinct(F.array(*[F.bround(F.lit(i) * last / F.lit(max(windows - 1, 1))).cast("int") for i in range(max(windows, 1))]))
+        many = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, n), " "))
+        return F.when((last <= 0) | F.lit(windows <= 1), F.array(F.array_join(F.slice(w, 1, n), " "))).otherwise(many)
+
+    return let(words(clean(c)), cut)
 
 
 def paragraphs(c: Column) -> Column:

@@ -55,14 +55,14 @@ def windowed_excerpts(spark, d):
     return rows.select("doc_id", F.when(last <= 0, 0).otherwise(F.get(starts, C("k"))).cast("long").alias("start"), "excerpt")
 
 
-@query(r"""with p as (select source, string_agg(text, case when doc_id % 2 = 0 then chr(10) || '  ' || chr(10) else chr(10) || chr(10) end order by doc_id) as t from documents group by source),
+@query(r"""with p as (select source, string_agg(text || case when doc_id % 2 = 0 then chr(10) || '  ' || chr(10) else chr(10) || chr(10) end, '' order by doc_id) as t from documents group by source),
 q as (select source, unnest(string_split(regexp_replace(t, '\n\s*\n', chr(1), 'g'), chr(1))) as p from p)
 select source, regexp_replace(regexp_replace(p, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') as paragraph, count(*) as n from q where regexp_replace(p, '\s+', '', 'g') <> '' group by all""")
 def paragraph_split(spark, d):
     gap = F.when(C("doc_id") % 2 == 0, "\n  \n").otherwise("\n\n")
     parts = F.array_sort(F.collect_list(F.struct("doc_id", gap.alias("gap"), "text")))
     text = I.documents(spark, d).groupBy("source").agg(parts.alias("p"))
-    joined = F.aggregate("p", F.lit(""), lambda a, x: F.concat(a, F.when(a == "", "").otherwise(x["gap"]), x["text"]))
+    joined = F.aggregate("p", F.lit(""), lambda a, x: F.concat(a, x["text"], x["gap"]))
     return text.select("source", F.explode(T.paragraphs(joined)).alias("paragraph")).groupBy("source", "paragraph").agg(F.count("*").alias("n"))
 
 
