@@ -201,3 +201,41 @@ def test_repeated_passages(spark, docs):
     for i in set(got) - want:
         others = [len(shingles[i] & shingles[j]) for j in docs if j != i]
         assert max(others) >= 36
+
+
+def test_pipeline_dedup_against_jaccard(spark, docs):
+    """Every text that goes is a near copy of one that came before; every close pair keeps one of its two."""
+    from textloom.llm import simhash
+
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    sets = {}
+    for i, t in docs.items():
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)])
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    close = {i: [j for j in docs if j != i and len(sets[i]) * 0.8 <= len(sets[j]) <= len(sets[i]) / 0.8 and alike(i, j)] for i in docs}
+    assert all(close[i] for i in docs if i not in kept)
+    assert all(i in kept or min(close[i]) < i or not close[i] for i in docs)
+    pairs = [(i, j) for i in docs for j in close[i] if i < j]
+    assert np.mean([not (i in kept and j in kept) for i, j in pairs]) >= 0.95
+
+
+def test_pipeline_against_its_parts(spark, docs, tmp_path):
+    """Rules and decontamination by brute force on what the stage before them kept."""
+    import corpus_pipeline
+
+    ran, some = [], spark.read.parquet(f"{SF}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, some, SF).write.parquet(f"{tmp_path}/{k}")
+        some = spark.read.parquet(f"{tmp_path}/{k}")
+        ran.append({r["doc_id"]: r["text"] for r in some.collect()})
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    bench = [grams(words(t)) for t in pq.read_table(f"{SF}/benchmark.parquet")["text"].to_pylist()]
+    leaks = {i for i, t in ran[1].items() for g in bench if len(g & grams(words(t))) >= 0.8 * len(g)}
+    assert set(ran[1]) - set(ran[2]) == leaks and leaks
+    assert set(ran[2]) == set(ran[3]) and not any(list(base_spans(t)) for t in ran[3].values())
+    for i, t in ran[0].items():
+        assert len(t.split()) >= 50 and t == docs[i]
+    packed = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, some, SF).collect()}
+    assert packed == set(ran[3])

@@ -11,6 +11,8 @@ Equal fingerprints are one node. Null texts are empty: fingerprint zero, linked
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Step, id_text, text_batches
 from .graph import components
+from .substring import mix
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Fixed: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -56,36 +59,38 @@ def golay_keys(v: np.ndarray, tables) -> np.ndarray:
     return np.where(offsets[s] < 0, -1, nearest[:, None] ^ np.maximum(offsets[s], 0))
 
 
-def fingerprint(b: bytes, shingle: int, xxh64) -> int:
-    """Majority of the shingles' XXH64 bits; repeats count; fewer words: the whole sequence; none: zero."""
+def fingerprint(b: bytes, shingle: int, xxh64, seeds: int = 1) -> list[int]:
+    """Majority of the shingles' XXH64 bits; repeats count; fewer words: the whole sequence; none: zero. Further seeds scramble the hashes."""
     words = b.lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxh64(b" ".join(words), 42)
-    ones, n = np.zeros(64, dtype=np.int64), len(words) - shingle + 1
+        return [0] * seeds
+    ones, n = np.zeros((seeds, 64), dtype=np.int64), max(len(words) - shingle + 1, 1)
     for at in range(0, n, 32768):
         some = words[at : at + 32768 + shingle - 1]
         line, ends = b" ".join(some), np.cumsum([len(w) + 1 for w in some])
-        starts, ends = [0, *ends[: len(some) - shingle].tolist()], (ends[shingle - 1 :] - 1).tolist()
-        h = np.array([xxh64(line[a:z], 42) for a, z in zip(starts, ends)], dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for row in range(0, len(bits), 255):  # sums of up to 255 bits fit in a byte
-            ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        width = min(shingle, len(some))
+        starts, ends = [0, *ends[: len(some) - width].tolist()], (ends[width - 1 :] - 1).tolist()
+        h = np.array([xxh64(line[a:z], 42) for a, z in zip(starts, ends)], dtype=np.uint64)
+        for seed in range(seeds):
+            x = mix(h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if seed else h
+            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for row in range(0, len(bits), 255):  # sums of up to 255 bits fit in a byte
+                ones[seed] += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return [int(np.packbits(2 * o > n, bitorder="little").view("<u8")[0]) for o in ones]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of whole texts, A-Z lower-cased, words cut at ASCII white space."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seeds: int = 1) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of whole texts, A-Z lower-cased, words cut at ASCII white space; fps has the fp of each seed."""
 
     def run(batches):
         import xxhash
 
         for ids, texts in text_batches(batches):
-            fp = np.array([fingerprint(b, shingle, xxhash.xxh64_intdigest) for b in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(b, shingle, xxhash.xxh64_intdigest, seeds) for b in texts], dtype=np.uint64).view(np.int64).reshape(-1, seeds)
+            every = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, seeds, dtype=np.int32)), pa.array(fps.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(np.ascontiguousarray(fps[:, 0])), every], names=["doc_id", "fp", "fps"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long, fps array<long>")
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def links(nodes: DataFrame, bucket: int = 64) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints at 2 or fewer differing bits."""
-    prints = Step(fingerprints(docs, shingle), "fingerprints")
+    prints = Step(fingerprints(docs, shingle).drop("fps"), "fingerprints")
     nodes = Step(prints.df.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     joined = components(links(nodes.df, bucket))
     rep = nodes.df.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
@@ -141,22 +146,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     return prints.df.join(found.df, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 64) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 64, words: int = 3, seeds: int = 4) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: the one with the smallest doc_id.
 
-    Groups: equal texts, and texts whose fingerprints of `shingle` words link and whose shingle sets have a Jaccard similarity of at
-    least `similarity`. Texts meet the first of their fingerprint, and firsts of linked fingerprints each other. Rows without an id stay.
+    Groups: equal texts, and texts whose fingerprints link and whose sets of `shingle` words have a Jaccard similarity of at least
+    `similarity`. Fingerprints are of `words` words, under `seeds` independent hashes: each has its chance to bring a pair together
+    within 2 bits, and false meetings fail the verification. Texts meet the first of their fingerprint, and firsts of linked
+    fingerprints each other. Rows without an id stay.
     """
     keys = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2")]
     with_id = docs.where("doc_id is not null")
-    prints = Step(fingerprints(with_id, shingle), "fingerprints").df.groupBy("doc_id").agg(F.min("fp").alias("fp"))
+    prints = Step(fingerprints(with_id, words, seeds), "fingerprints").df.groupBy("doc_id").agg(F.min("fps").alias("fps"))
     twins = Step(with_id.select(F.col("doc_id").cast("long").alias("doc_id"), *keys).groupBy("h1", "h2").agg(F.min("doc_id").alias("low")), "twins")
-    nodes = Step(twins.df.select(F.col("low").alias("doc_id")).distinct().join(prints, "doc_id"), "nodes")
-    first = nodes.df.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    met = links(first.select("fp"), bucket)
-    across = met.join(first.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v").select("a", "b")
-    within = nodes.df.join(first, "fp").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-    pairs = Step(across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    every = Step(twins.df.select(F.col("low").alias("doc_id")).distinct().join(prints, "doc_id"), "nodes")
+    met = []
+    for seed in range(seeds):
+        nodes = every.df.select("doc_id", F.get("fps", F.lit(seed)).alias("fp"))
+        first = nodes.groupBy("fp").agg(F.min("doc_id").alias("low"))
+        linked = links(first.select("fp"), bucket)
+        across = linked.join(first.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v").select("a", "b")
+        within = nodes.join(first, "fp").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+        met.append(Step(across.union(within), "simhash-met").df)
+    pairs = Step(reduce(DataFrame.union, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
     ends = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select("b")).distinct()
 
     def sets(batches):
