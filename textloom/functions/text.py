@@ -21,7 +21,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(f"{NOT_WS}+"))
 
 
 def strip(c: Column) -> Column:

@@ -19,10 +19,10 @@ def documents(spark, d):
 
 
 def pairs(spark, d):
-    """id, lang, src (source name), source, output: each document with the one PAIR_STEP further; an equi-join, no window."""
+    """id, lang, src (source name), source, output: each document with the one PAIR_STEP further; an equi-join that shuffles both, so that work spreads however few files there are."""
     docs = documents(spark, d)
     after = docs.select((F.col("doc_id") - PAIR_STEP).alias("doc_id"), F.col("text").alias("output"))
-    return docs.join(after, "doc_id").select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("src"), F.col("text").alias("source"), "output")
+    return docs.join(after.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("src"), F.col("text").alias("source"), "output")
 
 
 PAIRS = f"pairs as (select d.doc_id as id, d.lang, d.source as src, d.text as source, e.text as output from documents d join documents e on e.doc_id = d.doc_id + {PAIR_STEP})"
