@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\r\x0b\x0c"
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # Spark's default; other settings stay
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,6 +55,7 @@ class Step:
     """A written intermediate: .df rereads it, .drop() deletes it."""
 
     def __init__(self, df: DataFrame, name: str):
+        bounded_batches(df.sparkSession)
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -60,6 +70,7 @@ def partitions(spark: SparkSession) -> int:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns that an operator needs, null texts as empty; other columns, clashing names too, stay out."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_batches
+from .common import bounded_batches, id_text, text_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: ASCII letters and digits (A-Z lower-cased) and bytes of other scripts make words.
@@ -175,6 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
 
         return docs.mapInArrow(run, docs.schema)
 
+    bounded_batches(docs.sparkSession)
     for items in blocks(benchmark, block_words):
         docs = passes(docs, docs.sparkSession.sparkContext.broadcast(Index(items, threshold)))
     return docs

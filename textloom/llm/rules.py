@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_text, text_batches
+from .common import SPACES, bounded_batches, id_text, text_batches
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
@@ -70,6 +70,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of docs, all columns, that a policy does not reject; one pass without a shuffle."""
+    bounded_batches(docs.sparkSession)
     tests, schema = [sql for k, (_, sql) in enumerate(RULES) if POLICIES[policy] >> k & 1], docs.schema
 
     def run(batches):

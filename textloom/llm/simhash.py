@@ -110,7 +110,7 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(nodes: DataFrame, bucket: int = 64) -> DataFrame:
+def links(nodes: DataFrame, bucket: int = 8) -> DataFrame:
     """(u, v) over distinct fp of nodes: every two at 2 or fewer differing bits are linked, or joined through links."""
     keys = Step(bucket_keys(nodes), "golay-keys")
     sizes = keys.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -135,7 +135,7 @@ def links(nodes: DataFrame, bucket: int = 64) -> DataFrame:
     return small.union(large).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 8) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints at 2 or fewer differing bits."""
     prints = Step(fingerprints(docs, shingle).drop("fps"), "fingerprints")
     nodes = Step(prints.df.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     return prints.df.join(found.df, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 64, words: int = 3, seeds: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, words: int = 3, seeds: int = 4) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: the one with the smallest doc_id.
 
     Groups: equal texts, and texts whose fingerprints link and whose sets of `shingle` words have a Jaccard similarity of at least

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, partitions, scratch
+from .common import bounded_batches, partitions, scratch
 
 MANIFEST = "path string, records long, bytes long, sha1 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -62,6 +62,7 @@ def parse(raw: bytes) -> tuple:
 
 def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the archives of pages (page_id, url, html) below folder and commit their manifest, which is returned."""
+    bounded_batches(pages.sparkSession)
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
