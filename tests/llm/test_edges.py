@@ -102,10 +102,12 @@ def test_simhash(docs, none):
 
 def test_simhash_large_buckets_lose_no_link(spark):
     rng = np.random.default_rng(3)
-    prints = [int(x) for x in rng.integers(0, 1 << 62, 40)]
+    prints = [int(x) for x in rng.integers(0, 1 << 64, 40, dtype=np.uint64)]
     prints += [prints[0] ^ (1 << a) ^ (1 << b) ^ (1 << c) for a in range(8) for b in range(8, 16) for c in range(16, 24)]
-    nodes = spark.createDataFrame([(x,) for x in set(prints)], "fp long")
-    a = np.array(sorted(set(prints)), dtype=np.uint64)
+    prints += [prints[1] ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a + 1, 64, 5)]
+    signed = np.sort(np.array(list(set(prints)), dtype=np.uint64).view(np.int64))  # half of them negative
+    nodes = spark.createDataFrame([(int(x),) for x in signed], "fp long")
+    a = signed.view(np.uint64)
     parent = list(range(len(a)))
 
     def find(i):
@@ -117,8 +119,8 @@ def test_simhash_large_buckets_lose_no_link(spark):
         for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 2):
             x, y = sorted((find(i), find(int(j))))
             parent[y] = x
-    want = {int(a[i]): int(a[find(i)]) for i in range(len(a)) if sum(find(k) == find(i) for k in range(len(a))) > 1}
-    for bucket in (1, 64):
+    want = {int(signed[i]): int(signed[find(i)]) for i in range(len(a)) if sum(find(k) == find(i) for k in range(len(a))) > 1}
+    for bucket in (1, 8, 64):  # words one flip away, blocks, Golay keys
         assert {r["node"]: r["component"] for r in components(simhash.links(nodes, bucket)).collect()} == want
 
 

@@ -4,14 +4,16 @@ Fingerprints are cut into three segments (23, 23, 18 bits). The perfect [23,12,7
 if the nearest is at distance 2 or less, else six (the nearest and the five at distance 4), so that segments one bit apart
 always share a key. With 2 errors over 3 segments one segment has none and the next (cyclically) at most one, or none if the first
 is followed by another clean one; so (exact segment, codeword key of the next) finds every pair. Pairs that meet are verified by
-counting bits. Buckets over `bucket` members are not paired: their members are linked through the words one flip away, which two
-fingerprints share just if they differ in 2 bits at most, so nothing is lost and no bucket is expanded into all pairs.
+counting bits. Buckets over `bucket` members are not paired: their members get longer keys, of which each finds every pair again:
+four of six blocks (15 keys of 42 to 44 bits), then, for buckets still too large, the words one flip away, which two fingerprints
+share just if they differ in 2 bits at most. So nothing is lost and no bucket is expanded into all pairs.
 
 Equal fingerprints are one node. Null texts are empty: fingerprint zero, linked like any other; empty tables give no rows.
 """
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from .graph import components
 from .substring import mix
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Fixed: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 
@@ -110,17 +113,17 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def links(nodes: DataFrame, bucket: int = 8) -> DataFrame:
-    """(u, v) over distinct fp of nodes: every two at 2 or fewer differing bits are linked, or joined through links."""
-    keys = Step(bucket_keys(nodes), "golay-keys")
-    sizes = keys.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = Step(keys.df.join(sizes, "key"), "golay-buckets")
-    keys.drop()
-    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # `bucket` at most
-    small = small.select("fps", F.explode("fps").alias("u")).select("u", F.explode("fps").alias("v")).where("u > v")
-    small = small.where(F.bit_count(F.expr("u ^ v")) <= 2)
-
-    def flips(batches):
+def block_keys(nodes: DataFrame) -> DataFrame:
+    """(key, fp): 15 keys for each fp of nodes, without two of the BLOCKS each; 2 errors spoil two blocks at most."""
+    masks = [sum(((1 << n) - 1) << at for at, n in four) for four in combinations(BLOCKS, 4)]
+    keys = [F.struct(F.lit(i).alias("four"), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("bits")) for i, mask in enumerate(masks)]
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def flips(nodes: DataFrame) -> DataFrame:
+    """(near, fp): the 65 words at one differing bit or none of each fp of nodes."""
+
+    def run(batches):
         masks = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -129,10 +132,24 @@ def links(nodes: DataFrame, bucket: int = 8) -> DataFrame:
                 near = some ^ masks
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().view(np.int64)), pa.array(np.broadcast_to(some, near.shape).ravel().view(np.int64))], names=["near", "fp"])
 
-    large = met.df.where(F.col("n") > bucket).select("fp").distinct().mapInArrow(flips, "near long, fp long")
-    large = large.groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
+    return nodes.select("fp").mapInArrow(run, "near long, fp long")
+
+
+def links(nodes: DataFrame, bucket: int = 8) -> DataFrame:
+    """(u, v) over distinct fp of nodes: every two at 2 or fewer differing bits are linked, or joined through links."""
+    found, left = [], nodes
+    for name, keys_of in (("golay", bucket_keys), ("block", block_keys)):
+        keys = Step(keys_of(left), f"{name}-keys")
+        sizes = keys.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = Step(keys.df.join(sizes, "key"), f"{name}-buckets")
+        keys.drop()
+        small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # `bucket` at most
+        small = small.select("fps", F.explode("fps").alias("u")).select("u", F.explode("fps").alias("v")).where("u > v")
+        found.append(small.where(F.bit_count(F.expr("u ^ v")) <= 2))
+        left = met.df.where(F.col("n") > bucket).select("fp").distinct()
+    large = flips(left).groupBy("near").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)  # 65 at most
     large = large.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).where("u <> v")
-    return small.union(large).distinct()
+    return reduce(DataFrame.union, found, large).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 8) -> DataFrame:
