@@ -286,3 +286,25 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             some = stage(spark, some, d)
             assert some.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).where("doc_id is not null").collect()} == {1, 5}
+
+
+def edited(rng, words, low, high):
+    """A copy of words with single words replaced until the Jaccard similarity of five-word shingles lies in [low, high)."""
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    copy, near = list(words), 1.0
+    while near >= high:
+        copy[rng.integers(len(copy))] = f"new{rng.integers(1 << 40)}"
+        near = len(grams(copy) & grams(words)) / len(grams(copy) | grams(words))
+    return copy if near >= low else edited(rng, words, low, high)
+
+
+def test_keep_one_meets_near_copies_that_are_not_equal(spark):
+    rng, rows = np.random.default_rng(11), []
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.0)):
+        for _ in range(25):
+            words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(200, 400))]
+            rows += [(2 * len(rows), " ".join(words)), (2 * len(rows) + 1, " ".join(edited(rng, words, low, high)))]
+    far = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows += [(10_000, " ".join(far)), (10_001, " ".join(edited(rng, far, 0.6, 0.75)))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {r[0] for r in rows[:-2:2]} | {10_000, 10_001}

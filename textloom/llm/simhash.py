@@ -163,39 +163,63 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 8) -> DataF
     return prints.df.join(found.df, "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, words: int = 3, seeds: int = 4) -> DataFrame:
+def shingle_hashes(b: bytes, shingle: int, xxh64) -> np.ndarray:
+    """Sorted distinct XXH64 of the shingles of A-Z lower-cased words; fewer words: the whole sequence."""
+    words = b.lower().split()
+    parts = {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or {b" ".join(words)}
+    return np.unique(np.array([xxh64(p) for p in parts], dtype=np.uint64))
+
+
+def band_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, keys: of each band, the hash of `rows` minima of the shingles' hashes under as many random odd factors."""
+
+    def run(batches):
+        import xxhash
+
+        factors = np.random.default_rng(9).integers(0, 1 << 64, bands * rows, dtype=np.uint64) | np.uint64(1)
+        for ids, texts in text_batches(batches):
+            low = np.full((len(texts), bands * rows), ~np.uint64(0))
+            for k, b in enumerate(texts):
+                hashes = shingle_hashes(b, shingle, xxhash.xxh64_intdigest)
+                for at in range(0, len(hashes), 2048):
+                    np.minimum(low[k], (hashes[at : at + 2048, None] * factors).min(axis=0), out=low[k])
+            keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(texts), bands))
+            for row in range(rows):
+                keys = mix(keys ^ mix(low[:, row::rows]))
+            every = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), every], names=["doc_id", "keys"])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, keys array<long>")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, bands: int = 24, rows: int = 5) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: the one with the smallest doc_id.
 
-    Groups: equal texts, and texts whose fingerprints link and whose sets of `shingle` words have a Jaccard similarity of at least
-    `similarity`. Fingerprints are of `words` words, under `seeds` independent hashes: each has its chance to bring a pair together
-    within 2 bits, and false meetings fail the verification. Texts meet the first of their fingerprint, and firsts of linked
-    fingerprints each other. Rows without an id stay.
+    Groups: equal texts, and texts joined by pairs whose sets of `shingle` words have a Jaccard similarity of at least `similarity`.
+    Fingerprints within 2 bits meet few pairs of that similarity, so candidates share one of `bands` keys of `rows` MinHash values: a
+    pair at 0.8 meets but for (1 - 0.8^5)^24 = 7e-5, closer ones more surely; false meetings fail the verification. Buckets of up to
+    `bucket` texts are paired, larger ones with one of their texts, another for each key. Rows without an id stay.
     """
-    keys = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2")]
+    hashes = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2")]
     with_id = docs.where("doc_id is not null")
-    prints = Step(fingerprints(with_id, words, seeds), "fingerprints").df.groupBy("doc_id").agg(F.min("fps").alias("fps"))
-    twins = Step(with_id.select(F.col("doc_id").cast("long").alias("doc_id"), *keys).groupBy("h1", "h2").agg(F.min("doc_id").alias("low")), "twins")
-    every = Step(twins.df.select(F.col("low").alias("doc_id")).distinct().join(prints, "doc_id"), "nodes")
-    met = []
-    for seed in range(seeds):
-        nodes = every.df.select("doc_id", F.get("fps", F.lit(seed)).alias("fp"))
-        first = nodes.groupBy("fp").agg(F.min("doc_id").alias("low"))
-        linked = links(first.select("fp"), bucket)
-        across = linked.join(first.select(F.col("fp").alias("u"), F.col("low").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("low").alias("b")), "v").select("a", "b")
-        within = nodes.join(first, "fp").where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-        met.append(Step(across.union(within), "simhash-met").df)
-    pairs = Step(reduce(DataFrame.union, met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    ends = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select("b")).distinct()
+    prints = Step(band_keys(with_id, shingle, bands, rows), "bands").df.groupBy("doc_id").agg(F.min("keys").alias("keys"))
+    twins = Step(with_id.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes).groupBy("h1", "h2").agg(F.min("doc_id").alias("low")), "twins")
+    first = twins.df.select(F.col("low").alias("doc_id")).distinct()
+    every = Step(first.join(prints, "doc_id").select("doc_id", F.explode("keys").alias("key")), "band-keys")
+    sizes = every.df.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("hub")).where("n > 1")
+    met = Step(every.df.join(sizes, "key"), "band-buckets")
+    every.drop()
+    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("doc_id").alias("ids"))
+    small = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
+    stars = met.df.where((F.col("n") > bucket) & (F.col("doc_id") != F.col("hub"))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+    pairs = Step(small.union(stars).distinct(), "band-pairs")
+    ends = met.df.select("doc_id").distinct()
 
     def sets(batches):
         import xxhash
 
         for batch in batches:
-            blobs = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode().lower().split()
-                parts = {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or {b" ".join(words)}
-                blobs.append(np.unique(np.array([xxhash.xxh64_intdigest(p) for p in parts], dtype="<u8")).tobytes())
+            blobs = [shingle_hashes((text or "").encode(), shingle, xxhash.xxh64_intdigest).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, type=pa.binary())], names=["doc_id", "shingles"])
 
     chosen = with_id.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi")
@@ -215,6 +239,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
     groups = components(edges).where("node <> component").select(F.col("node").alias("low"))
     kept = twins.df.join(groups, "low", "left_anti").select(F.col("low").alias("doc_id"), "h1", "h2")
     names = docs.columns
-    rest = with_id.withColumns({"_h1": keys[0], "_h2": keys[1]})
+    rest = with_id.withColumns({"_h1": hashes[0], "_h2": hashes[1]})
     rest = rest.join(kept, (rest["doc_id"].cast("long") == kept["doc_id"]) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left_semi")
     return rest.dropDuplicates(["doc_id", "_h1", "_h2"]).select(*names).unionByName(docs.where("doc_id is null"))
