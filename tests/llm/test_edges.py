@@ -308,3 +308,29 @@ def test_keep_one_meets_near_copies_that_are_not_equal(spark):
     rows += [(10_000, " ".join(far)), (10_001, " ".join(edited(rng, far, 0.6, 0.75)))]
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {r[0] for r in rows[:-2:2]} | {10_000, 10_001}
+
+
+def test_keep_one_tests_every_pair_of_a_large_bucket(spark):
+    """Copies of one text, some similar only to another copy: components as by brute force over all pairs, whatever the bucket size."""
+    rng = np.random.default_rng(12)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    copies = [edited(rng, words, *((0.86, 0.93) if k % 3 else (0.6, 0.72))) for k in range(60)]
+    copies += [edited(rng, copies[k], 0.8, 0.86) for k in range(0, 60, 3)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in copies]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(copies)], "doc_id long, text string")
+    want = {k for k in range(len(sets)) if find(k) == k}
+    assert 1 < len(want) < 40
+    for bucket, block in ((1, 7), (8, 256)):
+        assert {r["doc_id"] for r in simhash.keep_one(docs, bucket=bucket, block=block).collect()} == want

@@ -192,13 +192,63 @@ def band_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
     return id_text(docs).mapInArrow(run, "doc_id long, keys array<long>")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, bands: int = 24, rows: int = 5) -> DataFrame:
+def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int = 8 << 20) -> DataFrame:
+    """(u, v): links that join the components (node, component) of the texts of each key of met (key, doc_id), tested on sets (doc_id, shingles).
+
+    Texts outside the key's largest component are dealt to blocks and tested against blocks of all its texts. Blocks leave out pairs
+    that their own links have joined already.
+    """
+    named = met.select("key", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sets.select("doc_id", F.octet_length("shingles").alias("size")), "doc_id")
+    named = Step(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "size"), "large-buckets").df
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "size", "component"))
+    whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("most")).where("parts > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / block_bytes, F.lit(1))).cast("int")
+    dealt = whole.select("key", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("outs"), blocks(F.col("n"), F.col("size")).alias("alls"))
+    rows = Step(named.drop("size").join(dealt, "key").withColumn("out", F.col("component") != F.col("main")), "outside").df
+    at = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    left = rows.where("out").select("key", at(F.col("outs")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "doc_id", "component", "out", F.lit(True).alias("one"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), at(F.col("alls")).alias("j"), "doc_id", "component", "out", F.lit(False).alias("one"))
+    sides = Step(left.union(right).join(sets, "doc_id"), "block-sides").df
+
+    def test(rows: pa.Table) -> pa.Table:
+        ids, parent, found = rows["doc_id"].to_pylist(), {}, []
+        component, out, one = (rows[c].to_pylist() for c in ("component", "out", "one"))
+        hashes = [np.frombuffer(b, "<u8") for b in rows["shingles"].to_pylist()]
+
+        def find(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        others = [k for k in range(len(ids)) if not one[k]]
+        for x in (k for k in range(len(ids)) if one[k]):
+            n, mine = len(hashes[x]), find(component[x])
+            near = [y for y in others if find(component[y]) != mine and (ids[x] < ids[y] or not out[y]) and similarity * n <= len(hashes[y]) <= n / similarity]
+            if not near:
+                continue
+            every = np.concatenate([hashes[y] for y in near])
+            hits = hashes[x][np.minimum(np.searchsorted(hashes[x], every), n - 1)] == every
+            sizes = np.array([len(hashes[y]) for y in near])
+            both = np.add.reduceat(hits, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in np.flatnonzero(both >= similarity * (n + sizes - both)):
+                a, b = find(component[x]), find(component[near[k]])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((ids[x], ids[near[k]]))
+        return pa.table({"u": pa.array([u for u, _ in found], type=pa.int64()), "v": pa.array([v for _, v in found], type=pa.int64())})
+
+    return sides.groupBy("key", "i", "j").applyInArrow(test, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, bands: int = 24, rows: int = 5, block: int = 256) -> DataFrame:
     """docs, all columns, with one row of each group of near copies: the one with the smallest doc_id.
 
     Groups: equal texts, and texts joined by pairs whose sets of `shingle` words have a Jaccard similarity of at least `similarity`.
     Fingerprints within 2 bits meet few pairs of that similarity, so candidates share one of `bands` keys of `rows` MinHash values: a
     pair at 0.8 meets but for (1 - 0.8^5)^24 = 7e-5, closer ones more surely; false meetings fail the verification. Buckets of up to
-    `bucket` texts are paired, larger ones with one of their texts, another for each key. Rows without an id stay.
+    `bucket` texts are paired, larger ones with one of their texts, another for each key; then each pair of a larger bucket that these
+    links have not joined is tested in blocks of about `block` texts, so no pair that shares a key is left out. Rows without an id stay.
     """
     hashes = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2")]
     with_id = docs.where("doc_id is not null")
@@ -236,7 +286,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
 
     one, two = chosen.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), chosen.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     edges = pairs.df.join(one, "a").join(two, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(alike, "u long, v long")
-    groups = components(edges).where("node <> component").select(F.col("node").alias("low"))
+    joined = Step(components(edges), "near-components").df
+    others = unlike_pairs(met.df.where(F.col("n") > bucket), joined, chosen, similarity, block)
+    groups = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(others)).where("node <> component").select(F.col("node").alias("low"))
     kept = twins.df.join(groups, "low", "left_anti").select(F.col("low").alias("doc_id"), "h1", "h2")
     names = docs.columns
     rest = with_id.withColumns({"_h1": hashes[0], "_h2": hashes[1]})
