@@ -334,3 +334,15 @@ def test_keep_one_tests_every_pair_of_a_large_bucket(spark):
     assert 1 < len(want) < 40
     for bucket, block in ((1, 7), (8, 256)):
         assert {r["doc_id"] for r in simhash.keep_one(docs, bucket=bucket, block=block).collect()} == want
+
+
+def test_item_of_one_sentence_is_found_by_its_shingles_only(spark):
+    words = [f"q{k}" for k in range(24)]
+    items = [(1, " ".join(words) + "."), (2, " ".join(f"a{k}" for k in range(20)) + "?\n" + " ".join(f"b{k}" for k in range(12)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    scattered = " filler ".join(reversed(words))  # every word, no shingle
+    bag = " ".join(f"a{k}" for k in range(20)) + " . " + " filler ".join(f"b{k}" for k in reversed(range(12)))  # the question, and the answer's words in another order
+    whole = "before " + " ".join(words) + " after"
+    docs = spark.createDataFrame([(1, scattered), (2, bag), (3, whole), (4, items[1][1])], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()} == {(3, 1), (4, 2)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {1, 2}

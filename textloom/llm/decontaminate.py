@@ -5,7 +5,8 @@ passage. A passage is a query against the items; it retrieves every item whose B
 the item's own words give. Scores are divided by that bound, so one threshold (1) serves all items and WAND's upper bounds are sums
 of per-term maxima. The maxima of blocks of `block` neighbouring items are summed in numpy for all passages of a text at once; only
 passages that can reach 1 in some block run WAND. What is retrieved is verified on the words: five-word shingles of
-question and answer (the item's last sentence) found in the passage.
+question and answer (the item's last sentence) found in the passage. An item without a question or an answer is decided by all its
+shingles alone.
 
 Items are indexed in blocks of at most `block_words` words, each broadcast on its own: a larger test set takes more passes, not more
 memory. Items and texts without words, and null ids or texts, match nothing; repeated rows are reported once each.
@@ -51,7 +52,7 @@ class Index:
         for item_id, text in items:
             if text and (words := words_of(text.encode())):
                 question, answer = (words_of(t.encode()) for t in split_item(text))
-                self.items.append((item_id, words, shingles(words, shingle), shingles(question, shingle), set(answer)))
+                self.items.append((item_id, words, shingles(words, shingle), shingles(question, shingle), shingles(answer, shingle)))
         n = len(self.items)
         self.longest = max((len(x[1]) for x in self.items), default=0)
         average = sum(len(x[1]) for x in self.items) / max(n, 1)
@@ -127,12 +128,12 @@ def search(index: Index, words: list[bytes]) -> list[tuple[int, float, int, int]
 
 
 def verify(index: Index, item: int, passage: list[bytes]) -> tuple[float, float, float]:
-    """Shares of the item's and the question's shingles and of the answer's words found in a passage."""
+    """Shares of the item's, the question's and the answer's shingles found in a passage; 0 of an empty question or answer."""
     _, _, every, question, answer = index.items[item]
     n = min(index.shingle, *map(len, every))
     here = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
-    wanted = lambda s: sum(x in here if len(x) == n else _inside(x, passage) for x in s) / len(s) if s else 1.0
-    return wanted(every), wanted(question), len(answer & set(passage)) / len(answer) if answer else 1.0
+    wanted = lambda s: sum(x in here if len(x) == n else _inside(x, passage) for x in s) / len(s) if s else 0.0
+    return wanted(every), wanted(question), wanted(answer)
 
 
 def _inside(x: tuple, passage: list[bytes]) -> bool:
