@@ -38,3 +38,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_curriculum_has_a_place_for_every_document(spark):
+    docs, got = spark.read.parquet(f"{SF}/documents.parquet").count(), registry.QUERIES["curriculum_places"](spark, SF).collect()
+    assert docs > 100 and sorted(r["place"] for r in got) == list(range(1, docs + 1))
+    from textloom.operators import splits
+
+    rows = [(k, n) for k, n in enumerate([3, 3, None, 1, 3, 1, 2, None, 3])]
+    want = {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])), 1)}
+    placed = splits.curriculum(spark.createDataFrame(rows, "id long, n long"), "n", "id", cell=2).collect()
+    assert {r["id"]: r["place"] for r in placed} == want

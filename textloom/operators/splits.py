@@ -64,6 +64,19 @@ def ranked(df: DataFrame, key: Column, order: str) -> DataFrame:
     return hashed.withColumn("_r", place).join(F.broadcast(cells.drop("_n")), "_cell").withColumn("rank_", F.col("_base") + F.col("_r")).drop("_cell", "_h", "_r", "_base")
 
 
+def curriculum(df: DataFrame, length: str, order: str, cell: int = 4096) -> DataFrame:
+    """df with place (from 1): shortest first, then by order (a whole number); counts of cells of one length and a range of order, in no single task."""
+    cells = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    counts = cells.groupBy(length, "_cell").agg(F.count("*").alias("_n"))
+    before = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*by[:-1]).orderBy(F.col(by[-1]).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lengths = counts.groupBy(length).agg(F.sum("_n").alias("_n")).select(F.col(length).alias("_length"), before(length).alias("_base"))  # a row for each length
+    inside = counts.select(F.col(length).alias("_length"), "_cell", before(length, "_cell").alias("_inside"))
+    bases = inside.alias("i").join(lengths.alias("l"), F.col("i._length").eqNullSafe(F.col("l._length"))).select("i._length", F.col("_cell").alias("_of"), (F.col("_base") + F.col("_inside")).alias("_start"))
+    numbered = cells.withColumn("_r", F.row_number().over(Window.partitionBy(length, "_cell").orderBy(order)))
+    placed = numbered.join(bases, numbered[length].eqNullSafe(bases["_length"]) & numbered["_cell"].eqNullSafe(bases["_of"]))
+    return placed.withColumn("place", (F.col("_start") + F.col("_r")).cast("long")).select(*df.columns, "place")
+
+
 def assign(df: DataFrame, key: Column, order: str, strategies=STRATEGIES) -> DataFrame:
     """df with strategy: exact quotas in seeded hash order."""
     n = df.count()

@@ -129,6 +129,12 @@ def curriculum_order(spark, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy("n_words", "doc_id")).cast("long"))
 
 
+@query(f"select doc_id, cast(len({WORDS.format('text')}) as bigint) as n_words, row_number() over (order by len({WORDS.format('text')}), doc_id) as place from documents")
+def curriculum_places(spark, d):
+    """The whole curriculum: the place of every document."""
+    return splits.curriculum(I.documents(spark, d).select("doc_id", T.word_count(C("text")).cast("long").alias("n_words")), "n_words", "doc_id")
+
+
 @query("select doc_id from documents order by sha256('sample:0:' || doc_id), doc_id limit 50")
 def seeded_sample(spark, d):
     return splits.sample(I.documents(spark, d), F.concat(F.lit("sample:0:"), C("doc_id").cast("string")), "doc_id", 50).select("doc_id")
