@@ -49,3 +49,10 @@ def test_curriculum_has_a_place_for_every_document(spark):
     want = {k: i for i, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])), 1)}
     placed = splits.curriculum(spark.createDataFrame(rows, "id long, n long"), "n", "id", cell=2).collect()
     assert {r["id"]: r["place"] for r in placed} == want
+
+
+def test_samples_and_exclusion_look_at_every_row(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["level"], r["text"]) for r in registry.QUERIES["samples_of_all"](spark, SF).collect()}
+    assert got == {i: ("A1 A2 B1".split()[i % 6], t) for i, t in docs.items() if i % 6 < 3} and max(got) >= 60
+    assert {r["id"] % 2 for r in registry.QUERIES["dpo_exclude_eval_all"](spark, SF).collect()} == {0, 1}

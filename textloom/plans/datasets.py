@@ -48,6 +48,13 @@ def dpo_exclude_eval(spark, d):
     return rows.select("id", splits.split(C("prompt"), 0.1).alias("split"))
 
 
+@query(f"with {I.PAIRS}, t as (select id, source as prompt from pairs) select id, case when {BUCKET.format('prompt')} < 0.1 then 'valid' else 'train' end as split from t anti join benchmark on prompt = text")
+def dpo_exclude_eval_all(spark, d):
+    """As dpo_exclude_eval, over every pair."""
+    rows = splits.without(I.pairs(spark, d).select("id", C("source").alias("prompt")), I.benchmark_keys(spark, d), "prompt", "text")
+    return rows.select("id", splits.split(C("prompt"), 0.1).alias("split"))
+
+
 @query(f"with {KEYS} select doc_id from documents anti join eval_keys using (text)")
 def grpo_exclude_eval(spark, d):
     return splits.without(I.documents(spark, d), keys(spark, d), "text", "text", small=True).select("doc_id")

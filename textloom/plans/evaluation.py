@@ -25,6 +25,12 @@ def samples_by_level(spark, d):
     return rows.groupBy("level").agg(F.array_join(texts, "|").alias("texts"))
 
 
+@query(f"with l as (select doc_id, text, {LEVEL} as level from documents) select level, doc_id, text from l where level in ('A1','A2','B1')")
+def samples_of_all(spark, d):
+    """Few-shot samples of all documents, whole texts: a row for each, so that no level's list is held at once; file order is that of doc_id."""
+    return levelled(spark, d).where("level in ('A1', 'A2', 'B1')").select("level", "doc_id", "text")
+
+
 @query(f"with l as (select doc_id, text, {LEVEL} as level from documents) select level, arg_min(left(text, 60), doc_id) as anchor from l where level in ('A1','A2','B1') group by level")
 def anchor_per_level(spark, d):
     return levelled(spark, d).where("level in ('A1', 'A2', 'B1')").groupBy("level").agg(F.min_by(F.substring("text", 1, 60), "doc_id").alias("anchor"))
