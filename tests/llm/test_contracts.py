@@ -124,6 +124,15 @@ def test_toxicity_held_out(spark):
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) >= 0.9
 
 
+def test_toxicity_ranks_and_flags_held_out_texts(spark):
+    labels = pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pydict()
+    truth = dict(zip(labels["doc_id"], labels["toxic"]))
+    got = [(r["score"], truth[r["doc_id"]]) for r in queries.QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").where("held_out").collect() if r["doc_id"] in truth]
+    toxic, calm = (np.array([s for s, y in got if y == k]) for k in (1, 0))
+    auc = np.mean((toxic[:, None] > calm) + 0.5 * (toxic[:, None] == calm))
+    assert auc >= 0.95 and np.mean(toxic >= 0.5) >= 0.9 and np.mean(calm < 0.5) >= 0.98
+
+
 def test_quality_rules(spark, docs):
     got = {r["doc_id"]: r for r in rows(spark, "op7_quality_rules")}
     for i, t in docs.items():

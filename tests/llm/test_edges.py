@@ -161,20 +161,46 @@ def test_toxicity(docs, none, spark):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
-def test_segments_are_maximal():
+def test_segments_are_all_the_maximal_ones():
     rng = np.random.default_rng(5)
+
+    def best_first(scores, at=0):
+        """By definition: the best segment, then those on its left and on its right."""
+        total = np.concatenate([[0.0], np.cumsum(scores)])
+        spans = [(total[z] - total[a], a, z) for a in range(len(scores)) for z in range(a + 1, len(scores) + 1)]
+        if not spans or max(spans)[0] <= 0:
+            return []
+        s, a, z = max(spans)
+        return [*best_first(scores[:a], at), (at + a, at + z - 1, s), *best_first(scores[z:], at + z)]
+
     for _ in range(200):
-        n = int(rng.integers(1, 30))
-        hits = sorted((int(p), float(rng.integers(1, 5))) for p in rng.choice(n, rng.integers(0, n + 1), replace=False))
-        drift, scores = 0.75, np.full(n, -0.75)
-        for p, s in hits:
-            scores[p] = s
-        got = toxicity.segments(hits, drift)
-        total = np.concatenate([[0], np.cumsum(scores)])
-        best = max((total[z] - total[a] for a in range(n) for z in range(a + 1, n + 1)), default=0)
-        assert max((s for *_, s in got), default=0) == pytest.approx(max(best, 0)) or not hits
-        assert all(s == pytest.approx(scores[a : z + 1].sum()) for a, z, s in got)
-        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        scores = rng.normal(-0.2, 1, rng.integers(0, 40))
+        got, want = toxicity.segments(scores), best_first(scores)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_log_odds_fall_back_on_beginnings():
+    n1, n0 = 1000, 9000
+    toxic, other = {}, {}
+    for word, y1, y0 in ((b"abcdefgh", 40, 0), (b"abcdefij", 30, 1), (b"zzzzzz", 0, 300), (b"the", 100, 900)):
+        for key in toxicity.terms(word):
+            toxic[key], other[key] = toxic.get(key, 0) + y1, other.get(key, 0) + y0
+    odds = toxicity.Scores(toxicity.log_odds(toxic, other, n1, n0))
+    assert odds[b"abcdefgh"] > odds[b"abcdefij"] > 2 and odds[b"abcdefxyz"] > 2 and odds[b"abcdxy"] > 2  # unseen words score by what they begin with
+    assert odds[b"zzzzzz"] < -2 and odds[b"never"] == 0 and abs(odds[b"the"]) < 0.01
+
+
+def test_extreme_values_expect_few_segments_by_chance():
+    """Of texts whose tokens are drawn by chance, about `significant` hold a passage."""
+    rng, shares, scores = np.random.default_rng(6), np.array([0.9, 0.08, 0.02]), np.array([-1.0, 1.5, 3.0])
+    lam = toxicity.karlin_lambda(scores, shares)
+    assert (shares * np.exp(lam * scores)).sum() == pytest.approx(1)
+    draw = lambda n: scores[rng.choice(3, n, p=shares)]
+    best = np.array([max((s for *_, s in toxicity.segments(draw(400))), default=0) for _ in range(1000)])
+    level = np.median(best)
+    tail = toxicity.Tail(0.0, lam, float(-np.log(np.mean(best < level)) / (400 * np.exp(-lam * level))), significant=0.05)
+    flagged = np.mean([bool(tail.features(toxicity.segments(draw(400)), 400)[1]) for _ in range(1000)])
+    assert 0.005 < flagged < 0.15
 
 
 def test_lm_score(docs, none):
