@@ -213,20 +213,76 @@ def test_lm_score(docs, none):
 
 def test_ctw_is_a_distribution():
     texts = [PROSE.encode(), LONG.encode()[:20_000]]
-    for share in (0.0, 1e-3):
-        total = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-        for keys, _, _ in ctw.grams_of(texts, 4):
-            u, n = np.unique(keys, return_counts=True)
-            total = ctw.add_up(np.r_[total[0], u], np.r_[total[1], n])
-        least = max(2.0, share * total[1].sum())
-        nodes = [np.concatenate(x) for x in zip(*(ctw.bit_nodes(*total, 4, d, least) for d in (3, 4)))]
-        low, n = ctw.add_up((total[0] >> 24) << 8 | (total[0] & 255), total[1])
-        model = ctw.with_bytes(ctw.tree(np.r_[nodes[0], low - (1 << 62)], np.r_[nodes[1], n], np.r_[nodes[2], n], 4, least), 4)
-        contexts = np.unique(np.r_[total[0][::50] >> 8, 123456789])
-        grams = np.sort(np.repeat(contexts << 8, 256) | np.tile(np.arange(256), len(contexts)))
-        assert np.add.reduceat(10 ** ctw.gram_scores(grams, model, 4), np.arange(0, len(grams), 256)) == pytest.approx(np.ones(len(contexts)))
-        whole = ctw.score_texts(texts, model, 4)
-        assert whole == pytest.approx([ctw.score_texts([t], model, 4)[0] for t in texts])
+    for least in (1, 2, 40):
+        grams, counts = ctw.count(texts, [True, True], 4)
+        model = ctw.whole_model(grams, counts, 4, least)
+        contexts = np.unique(np.r_[grams[::50] >> 8, 123456789])
+        every = np.sort(np.repeat(contexts << 8, 256) | np.tile(np.arange(256), len(contexts)))
+        assert np.add.reduceat(10 ** model.scores(every), np.arange(0, len(every), 256)) == pytest.approx(np.ones(len(contexts)))
+        scores = model.scores(grams)
+        whole = ctw.score_texts(texts, grams, scores, 4)
+        assert whole == pytest.approx([ctw.score_texts([t], grams, scores, 4)[0] for t in texts])
+
+
+def brute_ctw(training, text, depth, least):
+    """log10 probability of a text's bytes and end by CTW's recursion, node by node, on plain dictionaries."""
+    import math
+
+    counts = {}
+    for t in training:
+        t = bytes([ctw.START]) * depth + t.lower() + bytes([ctw.END])
+        for i in range(depth, len(t)):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    counts.setdefault((t[i - d : i], t[i] >> (8 - bit), bit), [0, 0])[t[i] >> (7 - bit) & 1] += 1
+    children = {}
+    for context, prefix, bit in counts:
+        if context and sum(counts[context, prefix, bit]) >= least:
+            children.setdefault((context[1:], prefix, bit), []).append((context, prefix, bit))
+    log_kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    known = {}
+
+    def weigh(node):
+        """(log of the weighted probability, share of the node's own estimate, pooled counts of the rarer children)."""
+        if node not in known:
+            own, kept = counts.get(node, [0, 0]), children.get(node, [])
+            rest = [own[k] - sum(counts[c][k] for c in kept) for k in (0, 1)]
+            alone = log_kt(*own)
+            if kept:
+                split = sum(weigh(c)[0] for c in kept) + log_kt(*rest)
+                both = max(alone, split) + math.log((math.exp(alone - max(alone, split)) + math.exp(split - max(alone, split))) / 2)
+                known[node] = both, math.exp(alone - both) / 2, rest
+            else:
+                known[node] = alone, 1.0, rest
+        return known[node]
+
+    def one(context, prefix, bit, d):
+        node = context[len(context) - d :], prefix, bit
+        (zeros, ones), (_, own, rest) = counts.get(node, [0, 0]), weigh(node)
+        deeper = context[len(context) - d - 1 :], prefix, bit
+        if d < depth and deeper in children.get(node, []):
+            below = one(context, prefix, bit, d + 1)
+        else:
+            below = (rest[1] + 0.5) / (sum(rest) + 1)
+        return own * (ones + 0.5) / (zeros + ones + 1) + (1 - own) * below
+
+    t, score = bytes([ctw.START]) * depth + text.lower() + bytes([ctw.END]), 0.0
+    for i in range(depth, len(t)):
+        for bit in range(8):
+            p = one(t[i - depth : i], t[i] >> (8 - bit), bit, 0)
+            score += math.log10(p if t[i] >> (7 - bit) & 1 else 1 - p)
+    return score
+
+
+def test_lm_score_is_that_of_ctw_by_brute_force(spark):
+    texts = [PROSE[:400], "The cat sat on the mat. THE CAT sat on the hat.", "das ß und die Katze", "", "the mat sat on the cat " * 4, "zzz unseen", PROSE[200:500], "the hat", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    training = [(t or "").encode() for i, t in enumerate(texts) if lm_score.learned_from(i)]
+    assert 3 < len(training) < len(texts)
+    for least in (1, 3):
+        for size in (50, 1 << 20):  # many batches, or one
+            got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, depth=4, least=least, batch_bytes=size).collect()}
+            assert got == pytest.approx({i: brute_ctw(training, (t or "").encode(), 4, least) for i, t in enumerate(texts)}, rel=1e-5)
 
 
 def test_grams_of_cut_texts_are_those_of_whole_texts():
