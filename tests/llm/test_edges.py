@@ -325,6 +325,72 @@ def test_substring(docs, none, spark):
     assert set(found) == {10, 11, 13, 14} and found[11]["spans"] == "200:260" and found[10]["spans"] == "100:160"
 
 
+def brute_passages(texts, n=50):
+    """Components of documents that share n words in a row, and the words inside such passages."""
+    owners = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        for k in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[k : k + n]), []).append((i, k))
+    parent, covered = {i: i for i in texts}, {i: set() for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for found in owners.values():
+        if len({i for i, _ in found}) > 1:
+            for i, k in found:
+                covered[i] |= set(range(k, k + n))
+                a, b = sorted((find(i), find(found[0][0])))
+                parent[b] = a
+    return {i: find(i) for i in texts if covered[i]}, covered
+
+
+def words_of_spans(spans):
+    return {k for x in spans.split(",") for k in range(*map(int, x.split(":")))}
+
+
+def test_a_centre_without_the_passage_loses_no_link(spark):
+    """Triples: the smallest document has just the two signature shingles of a passage that the others hold whole."""
+    import xxhash
+
+    rng, texts = np.random.default_rng(21), {}
+    for k in range(60):
+        passage = [f"p{x}" for x in rng.integers(0, 10**6, 50)]
+        shingles, low = substring.shingle_hashes(substring.word_hashes(" ".join(passage).encode(), xxhash.xxh64_intdigest), 5), {}
+        for h in range(3):  # the places of the minima of all hashes, with their partners
+            p = int(np.argmin(substring.mix(shingles ^ np.uint64((h + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))))
+            for side in (22, -22):
+                if 0 <= p + side < 46:
+                    low |= {q: passage[q] for a in (p, p + side) for q in range(a, a + 5)}
+        noise = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+        texts[3 * k] = " ".join(noise(40) + [low.get(q, f"x{rng.integers(10**9)}") for q in range(50)] + noise(40))
+        for i in (1, 2):
+            texts[3 * k + i] = " ".join(noise(30 * i) + passage + noise(40))
+    want, _ = brute_passages(texts)
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    lost = [i for i, c in want.items() if i not in got or any(want[j] == c and got.get(j, {"class_id": None})["class_id"] != got[i]["class_id"] for j in want)]
+    assert len(want) == 120 and not lost
+
+
+def test_a_common_line_hides_no_passage_and_spans_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(22)
+    noise = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    line, texts = [f"l{k}" for k in range(45)], {}
+    for i in range(40):  # documents with just the line, some twice
+        texts[i] = " ".join(noise(20) + line + noise(30) + (line if i % 5 == 0 else []) + noise(20))
+    for i in range(40, 80, 2):  # pairs with the line and a tail, the second with another line before it
+        both = line + noise(6 + i % 3) if i % 4 else noise(7) + line
+        texts[i], texts[i + 1] = (" ".join(noise(25) + (line + noise(10) if j and i % 8 == 0 else []) + both + noise(25)) for j in (0, 1))
+    want, covered = brute_passages(texts)
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == want and len(want) >= 40
+    for i, r in got.items():
+        assert words_of_spans(r["spans"]) == covered[i] and r["n_words"] == len(covered[i]) and r["n_links"] >= 1
+
+
 def test_compact_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\r\x0b\x0c"
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # Spark's default; other settings stay
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Smaller Arrow batches where Spark's defaults hold; what a user has set stays."""
+    for key, usual, own in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key).rstrip("bB") == str(usual):
+            spark.conf.set(key, str(own))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

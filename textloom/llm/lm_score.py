@@ -153,7 +153,7 @@ def answers(asks: DataFrame, learned: DataFrame, top, parts: int, depth: int, le
     return both.repartition(parts, "part").sortWithinPartitions(F.col("batch").asc_nulls_first()).mapInArrow(run, "batch long, part int, scores binary")
 
 
-def score(docs: DataFrame, depth: int = ctw.DEPTH, least: float = ctw.LEAST, hot: float = HOT, batch_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, depth: int = ctw.DEPTH, least: float = ctw.LEAST, hot: float = HOT, batch_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark, docs, parts = docs.sparkSession, id_text(docs), partitions(docs.sparkSession)
     words = Step(word_counts(docs.where(fold_col(F.col("doc_id")) != 1)), "words")
@@ -183,28 +183,34 @@ def score(docs: DataFrame, depth: int = ctw.DEPTH, least: float = ctw.LEAST, hot
         keys, scores = (np.concatenate([np.zeros(0, dtype=t), *x]) for t, x in ((np.int64, [np.cumsum(ctw.unsqueeze(g)) for g in grams.values()]), (np.float32, [np.frombuffer(reply[p], "<f4") for p in grams])))
         order = np.argsort(keys)
         keys, scores = keys[order], scores[order].astype(float)
-        rows = left.filter(pa.compute.is_valid(left["nth"])).select(["batch", "nth", "doc_id", "text"]).sort_by("nth")
-        ids, texts, known = rows["doc_id"].to_pylist(), rows["text"].to_pylist(), common.value
-        n_tokens, n_known, base, rare, pairs = [], [], [], [0], [[], []]
-        for b in texts:
-            tokens = b.lower().split()
-            tokens.append(b"")
-            values = list(map(known.get, tokens))
-            if None in values:
-                others = Counter([w for w, v in zip(tokens, values) if v is None])
-                values = [v for v in values if v is not None]
-                pairs[0] += others.keys()
-                pairs[1] += others.values()
-            n_tokens.append(len(tokens))
-            n_known.append(len(values))
-            base.append(float(np.sum(values)))
-            rare.append(len(pairs[0]))
-        pair = pa.struct([("word", pa.binary()), ("times", pa.int32())])
-        lists = pa.ListArray.from_arrays(pa.array(rare, type=pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[0], type=pa.binary()), pa.array(pairs[1], type=pa.int32())], fields=list(pair)))
-        columns = [rows["batch"].combine_chunks(), rows["nth"].combine_chunks(), pa.array(ids, type=pa.int64()), pa.array([not learned_from(i) for i in ids], type=pa.bool_())]
-        columns += [pa.array(n_tokens, type=pa.int64()), pa.array(n_known, type=pa.int64()), pa.array(base, type=pa.float64()), pa.array(ctw.score_texts(texts, keys, scores, depth)), pa.array(list(map(len, texts)), type=pa.int64()), lists]
-        return pa.Table.from_arrays(columns, names=["batch", "nth", "doc_id", "held_out", "n_tokens", "n_hot", "hot", "score", "n_bytes", "rare"])
-
+        rows = left.filter(pa.compute.is_valid(left["nth"])).select(["batch", "nth", "doc_id", "text"])
+        del left, right, asked, grams, reply, order
+        some = [pa.Table.from_arrays([pa.array([], type=f.type) for f in schema], schema=schema)]
+        for a in range(0, rows.num_rows, 500):  # words as Python objects for a few texts at a time
+            part = rows.slice(a, 500)
+            ids, texts, known = part["doc_id"].to_pylist(), part["text"].to_pylist(), common.value
+            n_tokens, n_known, base, rare, pairs = [], [], [], [0], [[], []]
+            for b in texts:
+                tokens = b.lower().split()
+                tokens.append(b"")
+                values = list(map(known.get, tokens))
+                if None in values:
+                    others = Counter([w for w, v in zip(tokens, values) if v is None])
+                    values = [v for v in values if v is not None]
+                    pairs[0] += others.keys()
+                    pairs[1] += others.values()
+                n_tokens.append(len(tokens))
+                n_known.append(len(values))
+                base.append(float(np.sum(values)))
+                rare.append(len(pairs[0]))
+            lists = pa.ListArray.from_arrays(pa.array(rare, type=pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[0], type=pa.binary()), pa.array(pairs[1], type=pa.int32())], fields=list(pair)))
+            columns = [part["batch"].combine_chunks(), part["nth"].combine_chunks(), pa.array(ids, type=pa.int64()), [not learned_from(i) for i in ids], n_tokens, n_known, base, ctw.score_texts(texts, keys, scores, depth), list(map(len, texts))]
+            some.append(pa.Table.from_arrays([*(pa.array(c, type=f.type) for c, f in zip(columns, schema)), lists], schema=schema))
+        return pa.concat_tables(some)
+
+    pair = pa.struct([("word", pa.binary()), ("times", pa.int32())])
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pair)]
+    schema = pa.schema(list(zip(["batch", "nth", "doc_id", "held_out", "n_tokens", "n_hot", "hot", "score", "n_bytes", "rare"], types)))
     asked = table.select("batch", "part", "grams", "nth", "doc_id", "text").groupBy("batch")
     scored = Step(asked.cogroup(replies.groupBy("batch")).applyInArrow(run, SCORED), "lm-scores")
     spark.sql(f"drop table {name}")
