@@ -9,7 +9,8 @@
 5. place: each piece's rank within its length, by partition offsets, names its slot in the plan. The plan has one entry per
    configuration and item, so its size follows the number of configurations, not of documents.
 
-Null texts are empty (one end id); a null id stays null; repeated rows are packed once each; an empty table gives no rows.
+Null texts are empty (one end id); a null id stays null; repeated rows and equal texts are packed once each; texts of any length are
+encoded whole, long ones in stretches; other columns stay out; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -51,8 +52,14 @@ def encoder(vocabulary: str):
     import tiktoken
 
     ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
-    own = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: own.encode_to_numpy(text, allowed_special="all").astype("<u4")
+    own, tokenizer, long = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special), tokenizer_of(vocabulary), re.compile(f"[{WHITE}]{{100000}}")
+
+    def ids(text):
+        if len(text) >= 100_000 and long.search(text):  # the faster encoder's pattern can't step back over such a run
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return own.encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+    return ids
 
 
 def stretches(text: str, limit: int = 1 << 18):
@@ -211,4 +218,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
         return batch.drop_columns(["part", "base"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     placed = step.df.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", "part", "base")
-    return placed.groupBy("part").applyInArrow(place, PIECES + ", sequence_id long, offset long")
+    result = Step(placed.groupBy("part").applyInArrow(place, PIECES + ", sequence_id long, offset long"), "packed")
+    step.drop()
+    counts.drop()
+    return result.df
