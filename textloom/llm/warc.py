@@ -2,12 +2,14 @@
 
 Records are range-sorted by (page_id, digest, url) and written one gzip member each. A task rolls to a new file once `roll_bytes`
 compressed bytes are written; headers, digests and lengths are made anew from the payload. A file is written under a temporary name
-of its own and renamed when it is whole, so a lost or repeated task leaves nothing half done: names and bytes depend on the records
-alone. The manifest (file, records, bytes, SHA-1) is written last, and readers open what it lists.
+of its own and renamed when it is whole, so a lost or repeated task leaves nothing half done. A record's bytes depend on the record
+alone; which file holds it follows from the order, the number of shuffle partitions and the range bounds that Spark samples from the
+input's splits, so the same input under the same settings gives the same files. The manifest (file, records, bytes, SHA-1) is written last, and readers open what it lists.
 
 Among records with equal payloads of at least `least` bytes the one with the largest page_id (of repeated rows, the first) is the
 response; others become revisits of it. Smaller payloads, and groups without any id, stay responses. Null html is an empty payload;
-a null id is written as "null"; an empty table gives an empty manifest and no rows.
+a null id is written as "null"; payloads of any length are one record; other columns stay out; an empty table gives an empty manifest
+and no rows.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, scratch
+from .common import Step, bounded_batches, partitions, scratch
 
 MANIFEST = "path string, records long, bytes long, sha1 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -68,6 +70,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, least: int
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.length("payload") >= least).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.max("page_id").alias("rep"), F.count("*").alias("n")).where("n > 1 and rep is not null").drop("n")
+    first = Step(first, "first-pages").df  # written: a payload that many pages share can then be split in the join
     revisits = large.join(first, "digest").where("page_id is null or page_id <> rep").groupBy("page_id", "digest").agg(F.min("rep").alias("rep"))
     both = rows.select("page_id", "digest", F.lit(1).alias("part"), "url", "payload", F.lit(None).cast("long").alias("rep")).unionByName(
         revisits.select("page_id", "digest", F.lit(0).alias("part"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "rep")
