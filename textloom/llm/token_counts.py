@@ -2,7 +2,8 @@
 
 Texts are dealt to the encoder in batches balanced by bytes; long ones are cut at safe boundaries (before white space that
 follows a word), which no token of the vocabulary crosses, so that lengths add up. Words met before come from a bounded cache.
-Null texts count as empty; a null id stays null; each row gives one row, repeated rows too.
+Null texts count as empty; a null id stays null; each row gives one row, repeated rows and equal texts too; texts of any length are
+counted whole; other columns stay out; an empty table gives no rows; a vocabulary file that is not word-wise is an error.
 """
 from __future__ import annotations
 
@@ -17,11 +18,25 @@ from .common import arrow_rows, id_text, per_worker, segments, text_batches, tok
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
+#: Texts whose tokens a word-wise file gives word by word.
+PROBES = ("the cat  sat\n on", " \t a\x0bb\x0c c ", "Don't stop; 12.5% of it!", "l'été où", "x")
+
+
+def word_wise(vocabulary: str):
+    """The tokenizer of a file whose tokens never cross ASCII white space and do not show it; an error for other files."""
+    tokenizer = tokenizer_of(vocabulary)
+    for text in PROBES:
+        apart = [i for w in text.encode().split() for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids]
+        if tokenizer.encode(text, add_special_tokens=False).ids != apart:
+            raise ValueError(f"{vocabulary} does not drop white space between words")
+    return tokenizer
+
+
 def token_counts(docs: DataFrame, vocabulary: str, batch_bytes: int = 2 << 20, cache_words: int = 300_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens of whole texts for a word-wise tokenizer file that drops white space."""
 
     def count(batches):
-        tokenizer, known = per_worker(f"lengths {vocabulary}", lambda: (tokenizer_of(vocabulary), {}))
+        tokenizer, known = per_worker(f"lengths {vocabulary}", lambda: (word_wise(vocabulary), {}))
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
         def lengths(parts):
