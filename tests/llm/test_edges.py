@@ -65,6 +65,20 @@ def test_packing(docs, none):
     assert packing.pack(none, VOCABULARY["byte_bpe_50k.json"]).count() == 0
 
 
+def test_packing_of_very_long_white_space():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(VOCABULARY["byte_bpe_50k.json"]), packing.encoder(VOCABULARY["byte_bpe_50k.json"])
+    for text in (" " * 1_000_001 + "x", "x" + " \n" * 300_000, "a <|endoftext|>" + " " * 150_000 + "b"):
+        assert [i for part in packing.stretches(text) for i in encode(part).tolist()] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts_refuse_a_file_that_is_not_word_wise():
+    assert token_counts.word_wise(VOCABULARY["word_bpe_49k.json"])
+    with pytest.raises(ValueError):
+        token_counts.word_wise(VOCABULARY["byte_bpe_50k.json"])
+
+
 def test_configuration_program_holds_every_piece():
     rng = np.random.default_rng(7)
     demand = np.bincount(np.clip(rng.lognormal(4.5, 1, 20_000).astype(int), 1, 1024), minlength=1025)
@@ -84,6 +98,9 @@ def test_rules(docs, none):
     got = rules.ledger(docs)
     assert ids(got.collect()) == ALL
     assert rules.ledger(none).count() == 0
+    clashing = docs.withColumns({"ledger": F.lit("x"), "n_lines": F.lit(None).cast("string"), "failed": F.lit(3)})
+    kept = rules.keep(clashing)
+    assert kept.schema == clashing.schema and {r["ledger"] for r in kept.collect()} == {"x"}
     kept = rules.keep(docs)
     assert kept.schema == docs.schema and ids(kept.collect()) == ids(got.where(~rules.rejects("v1")).collect())
     table = {r["rule"]: r for r in rules.ablation(got, "v1").collect()}
@@ -150,7 +167,60 @@ def test_pii(docs, none, spark):
     few = spark.createDataFrame([row(1, "mail a.b@c.example.org now +1 (743) 555-3824, 10.0.0.1 or 999.1.1.1 card 4111 1111 1111 1111"), row(2, None)], DOCS)
     got = {r["doc_id"]: r["text"] for r in pii.redact(few).collect()}
     assert got == {1: "mail [EMAIL] now [PHONE], [IP] or 999.1.1.1 card [CARD]", 2: None}
-    assert pii.find_base("1" * 200_000 + "." + "2" * 200_000) == [] and pii.find_base("x" * 200_000) == []
+    for long in ("1" * 200_000 + "." + "2" * 200_000, "x" * 200_000, "1 " * 100_000, "a at " * 50_000, "a@" * 100_000, "1.1.1" * 50_000, "f:" * 100_000):
+        base, more = pii.spans_of(long, {})
+        assert more == [] and (base == [] or long.startswith("1"))
+
+
+def test_boosted_trees_learn_what_a_line_cannot():
+    from textloom.llm.boosting import BoostedTrees
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = BoostedTrees().fit(x[:3000], y[:3000])
+    p = trees.probability(x[3000:])
+    assert np.mean((p >= 0.5) == y[3000:]) > 0.97 and ((p > 0) & (p < 1)).all()
+    assert abs(p.mean() - y[3000:].mean()) < 0.03  # probabilities, not just ranks
+    same = BoostedTrees().fit(np.zeros((50, 2)), np.r_[np.ones(10), np.zeros(40)])
+    assert same.probability(np.zeros((1, 2)))[0] == pytest.approx(0.2, abs=0.02)
+
+
+def test_wide_forms_are_found_and_decoys_left(spark):
+    """Held-out plants: whole spans found, decoys of like shape and clean texts left alone."""
+    rng = np.random.default_rng(31)
+    prose = lambda n: " ".join(pii._letters(rng, 2, 9) for _ in range(n))
+    rows, truth = [], {}
+    for i in range(1200):
+        kind, right = i % 4, i // 4 % 2 == 0
+        left, span = prose(20) + (f" {pii.CUES[pii.KINDS[kind]][0]}: " if right else " "), pii.plant(rng, kind, right)
+        rows.append((i, left + span + " " + prose(15)))
+        truth[i] = (f"{pii.KINDS[kind]}:{len(left)}:{len(left) + len(span)}", right)
+    rows += [(i, prose(60)) for i in range(1200, 2000)]
+    got = {r["doc_id"]: r for r in pii.digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for kind in pii.KINDS:
+        mine = [i for i, (s, right) in truth.items() if right and s.startswith(kind)]
+        assert np.mean([truth[i][0] in got[i]["spans"].split(",") for i in mine]) >= 0.8, kind
+    added = [i for i, r in got.items() if r["n_added"]]
+    assert np.mean([truth.get(i, ("", False))[1] for i in added]) >= 0.95
+    assert not any(got[i]["n_spans"] for i in range(1200, 2000))
+
+
+def test_best_of_overlapping_spans_is_taken():
+    class Fixed:
+        def __init__(self, p):
+            self.p = p
+
+        def probability(self, x):
+            return np.full(len(x), self.p)
+
+    text = "call 394-555-4006 or x (at) y (dot) com, mail a@b.org"
+    base, more = pii.spans_of(text, {0: (Fixed(0.9), 0.5), 3: (Fixed(0.8), 0.5)})
+    assert [text[s:e] for _, s, e in base] == ["a@b.org"]
+    assert {(k, text[s:e]) for k, s, e in more} == {(0, "x (at) y (dot) com"), (3, "394-555-4006")}
+    card = "4111/1111/1111/1111"  # a card and, within it, telephone numbers
+    assert [(k, card[s:e]) for k, s, e in pii.spans_of(card, {2: (Fixed(0.99), 0.5), 3: (Fixed(0.6), 0.5)})[1]] == [(2, card)]
+    assert pii.spans_of(card, {})[1] == []
 
 
 def test_toxicity(docs, none, spark):
@@ -301,6 +371,28 @@ def test_decontamination(docs, none, spark):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_results_do_not_depend_on_how_the_index_is_cut(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect())
+    cut = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench, block_words=1500).collect())
+    assert whole and [x[:2] + x[3:] for x in whole] == [x[:2] + x[3:] for x in cut] and [x[2] for x in whole] == pytest.approx([x[2] for x in cut])
+
+
+def test_index_memory_follows_its_words():
+    rng = np.random.default_rng(9)
+    size = lambda n: sum(x.nbytes for x in vars(decontaminate.Index([(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 5))) for k in range(n)], 0.6)).values() if isinstance(x, np.ndarray))
+    assert size(8000) < 9 * size(1000) and size(8000) < 8000 * 5 * 64
+
+
+def test_passages_at_every_place_are_found():
+    item = " ".join(f"i{k}" for k in range(30))
+    index = decontaminate.Index([(7, item), (8, " ".join(f"j{k}" for k in range(37)))], 0.6)
+    for before in range(0, 160, 7):
+        for after in (0, 1, 50):
+            words = [b"x"] * before + item.encode().split() + [b"y"] * after
+            assert 7 in {index.items[k][0] for k, *_ in decontaminate.search(index, words)}, (before, after)
+
+
 def test_wand_finds_what_exhaustive_scoring_finds():
     rng = np.random.default_rng(2)
     items = [(k, " ".join(f"w{x}" for x in rng.zipf(1.3, 30) % 400)) for k in range(60)]
@@ -309,7 +401,7 @@ def test_wand_finds_what_exhaustive_scoring_finds():
         terms = sorted({index.terms[w] for w in (f"w{x}".encode() for x in rng.zipf(1.3, 200) % 400) if w in index.terms})
         scores = np.zeros(len(index.items))
         for t in terms:
-            scores[index.ids[t]] += index.weights[t]
+            scores[index.postings(t)[0]] += index.postings(t)[1]
         assert dict(index.wand(terms)) == pytest.approx({k: s for k, s in enumerate(scores) if s >= 1 - 1e-9})
 
 
@@ -458,6 +550,20 @@ def test_keep_one_meets_near_copies_that_are_not_equal(spark):
     assert kept == {r[0] for r in rows[:-2:2]} | {10_000, 10_001}
 
 
+def test_keep_one_judges_texts_that_share_an_id_on_their_own(spark):
+    rng = np.random.default_rng(13)
+    base, rows = [f"w{x}" for x in rng.integers(0, 5000, 300)], [(0, "")]
+    for i in range(40):  # each id has a near copy of one text and a text of its own
+        rows += [(i, " ".join(edited(rng, base, 0.85, 0.95))), (i, " ".join(f"u{i}x{x}" for x in rng.integers(0, 10**6, 200)))]
+    frame = spark.createDataFrame([(*r, 7, "a", None, 1, "b") for r in rows + rows[5:9]], "doc_id long, text string, h1 int, _h1 string, H2 long, textloom_id int, `a.b` string")
+    kept = simhash.keep_one(frame)
+    got = sorted(tuple(r) for r in kept.collect())
+    assert kept.columns == frame.columns and all(r[2:] == (7, "a", None, 1, "b") for r in got)
+    unique = {r for r in rows if r[1].startswith("u") or not r[1]}
+    assert {r[:2] for r in got} >= unique and len(got) == len(unique) + 1  # and one of the near copies
+    assert min(i for i, *_ in rows if i == [r for r in got if r[1].startswith("w") or r[1].startswith("new")][0][0]) == 0
+
+
 def test_keep_one_tests_every_pair_of_a_large_bucket(spark):
     """Copies of one text, some similar only to another copy: components as by brute force over all pairs, whatever the bucket size."""
     rng = np.random.default_rng(12)

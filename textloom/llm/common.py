@@ -71,6 +71,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns that an operator needs, null texts as empty; other columns, clashing names too, stay out."""
     bounded_batches(df.sparkSession)

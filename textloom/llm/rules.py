@@ -4,16 +4,21 @@
 is a mask of the bits that reject; changing policies rereads the ledger, not the texts. `ablation` counts by bitwise aggregation
 over the distinct masks (2^rules rows at most) what each rule of a policy rejects in all, alone, and what its removal lets back in.
 
-Null texts have no words. Every row gives one row; empty tables give none.
+Null texts have no words. Every row gives one row, repeated rows and null ids too; texts of any length are measured whole; equal texts
+measure alike; other columns stay out of the ledger, and `keep` returns them as they are, whatever they are called; empty tables give
+no rows.
 """
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SPACES, bounded_batches, id_text, text_batches
+from .common import SPACES, bounded_batches, free, id_text, text_batches
 
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words")
@@ -56,6 +61,12 @@ def measure(b: bytes) -> tuple[int, ...]:
     return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats, len(lines), distinct
 
 
+def failure_bits(of: str = "") -> Column:
+    """A bit per rule of RULES over the measurements, fields of the struct column `of` if given."""
+    named = lambda sql: re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"`{of}`.\1", sql) if of else sql
+    return F.expr(" + ".join(f"if({named(sql)}, {1 << k}L, 0L)" for k, (_, sql) in enumerate(RULES)))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, MEASURES (long), failed (long: a bit per rule of RULES)."""
 
@@ -65,22 +76,23 @@ def ledger(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), *(pa.array(c, type=pa.int64()) for c in columns)], names=["doc_id", *MEASURES])
 
     measured = id_text(docs).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *MEASURES)))
-    return measured.withColumn("failed", F.expr(" + ".join(f"if({sql}, {1 << k}L, 0L)" for k, (_, sql) in enumerate(RULES))))
+    return measured.withColumn("failed", failure_bits())
 
 
 def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of docs, all columns, that a policy does not reject; one pass without a shuffle."""
+    """The rows of docs, all columns, whose ledger entry a policy does not reject; one pass without a shuffle."""
     bounded_batches(docs.sparkSession)
-    tests, schema = [sql for k, (_, sql) in enumerate(RULES) if POLICIES[policy] >> k & 1], docs.schema
+    name = free(docs, "ledger")
+    kind = pa.struct([(c, pa.int64()) for c in MEASURES])
 
     def run(batches):
-        code = [compile(t, "rule", "eval") for t in tests]  # the conditions read alike in SQL and Python
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            measures = (dict(zip(MEASURES, measure((t or "").encode()))) for t in texts)
-            yield batch.filter(pa.array([not any(eval(c, {}, m) for c in code) for m in measures], type=pa.bool_()))
+            found = pa.array([dict(zip(MEASURES, measure((t or "").encode()))) for t in texts], type=kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    measured = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(c, LongType()) for c in MEASURES]))]))
+    return measured.where(failure_bits(name).bitwiseAND(F.lit(POLICIES[policy])) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def rejects(policy: str) -> Column:

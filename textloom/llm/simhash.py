@@ -8,7 +8,9 @@ counting bits. Buckets over `bucket` members are not paired: their members get l
 four of six blocks (15 keys of 42 to 44 bits), then, for buckets still too large, the words one flip away, which two fingerprints
 share just if they differ in 2 bits at most. So nothing is lost and no bucket is expanded into all pairs.
 
-Equal fingerprints are one node. Null texts are empty: fingerprint zero, linked like any other; empty tables give no rows.
+Equal fingerprints are one node. Null texts are empty: fingerprint zero, linked like any other; every row gives one row, repeated
+and null ids too (a null id is no smallest one); texts of any length are taken whole; other columns stay out; empty tables give no
+rows.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Step, id_text, text_batches
+from .common import Step, bounded_batches, free, id_text, text_batches
 from .graph import components
 from .substring import mix
 
@@ -62,38 +64,45 @@ def golay_keys(v: np.ndarray, tables) -> np.ndarray:
     return np.where(offsets[s] < 0, -1, nearest[:, None] ^ np.maximum(offsets[s], 0))
 
 
-def fingerprint(b: bytes, shingle: int, xxh64, seeds: int = 1) -> list[int]:
-    """Majority of the shingles' XXH64 bits; repeats count; fewer words: the whole sequence; none: zero. Further seeds scramble the hashes."""
+def fingerprint(b: bytes, shingle: int, xxh64) -> int:
+    """Majority of the shingles' XXH64 bits; repeats count; fewer words: the whole sequence; none: zero."""
     words = b.lower().split()
     if not words:
-        return [0] * seeds
-    ones, n = np.zeros((seeds, 64), dtype=np.int64), max(len(words) - shingle + 1, 1)
+        return 0
+    ones, n = np.zeros(64, dtype=np.int64), max(len(words) - shingle + 1, 1)
     for at in range(0, n, 32768):
         some = words[at : at + 32768 + shingle - 1]
         line, ends = b" ".join(some), np.cumsum([len(w) + 1 for w in some])
         width = min(shingle, len(some))
         starts, ends = [0, *ends[: len(some) - width].tolist()], (ends[width - 1 :] - 1).tolist()
-        h = np.array([xxh64(line[a:z], 42) for a, z in zip(starts, ends)], dtype=np.uint64)
-        for seed in range(seeds):
-            x = mix(h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if seed else h
-            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            for row in range(0, len(bits), 255):  # sums of up to 255 bits fit in a byte
-                ones[seed] += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
-    return [int(np.packbits(2 * o > n, bitorder="little").view("<u8")[0]) for o in ones]
+        ones += ones_of(np.array([xxh64(line[a:z], 42) for a, z in zip(starts, ends)], dtype=np.uint64))
+    return majority(ones, n)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: int = 1) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of whole texts, A-Z lower-cased, words cut at ASCII white space; fps has the fp of each seed."""
+def ones_of(h: np.ndarray) -> np.ndarray:
+    """How many of h have each bit."""
+    ones = np.zeros(64, dtype=np.int64)
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for row in range(0, len(bits), 255):  # sums of up to 255 bits fit in a byte
+        ones += np.add.reduce(bits[row : row + 255], axis=0, dtype=np.uint8)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of whole texts, A-Z lower-cased, words cut at ASCII white space."""
 
     def run(batches):
         import xxhash
 
         for ids, texts in text_batches(batches):
-            fps = np.array([fingerprint(b, shingle, xxhash.xxh64_intdigest, seeds) for b in texts], dtype=np.uint64).view(np.int64).reshape(-1, seeds)
-            every = pa.ListArray.from_arrays(pa.array(np.arange(0, fps.size + 1, seeds, dtype=np.int32)), pa.array(fps.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(np.ascontiguousarray(fps[:, 0])), every], names=["doc_id", "fp", "fps"])
+            fps = [fingerprint(b, shingle, xxhash.xxh64_intdigest) for b in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(fps, type=pa.int64())], names=["doc_id", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long, fps array<long>")
+    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def bucket_keys(nodes: DataFrame) -> DataFrame:
@@ -154,65 +163,69 @@ def links(nodes: DataFrame, bucket: int = 8) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 8) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints at 2 or fewer differing bits."""
-    prints = Step(fingerprints(docs, shingle).drop("fps"), "fingerprints")
+    prints = Step(fingerprints(docs, shingle), "fingerprints")
     nodes = Step(prints.df.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     joined = components(links(nodes.df, bucket))
     rep = nodes.df.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = rep.groupBy("component").agg(F.min("low").alias("component_id"))
     found = Step(rep.join(lowest, "component").select("fp", "component_id"), "fp-components")  # a plain exchange for the join below
-    return prints.df.join(found.df, "fp")
+    result = Step(prints.df.join(found.df, "fp"), "near-duplicates")
+    for step in (prints, nodes, found):
+        step.drop()
+    return result.df
 
 
 def shingle_hashes(b: bytes, shingle: int, xxh64) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles of A-Z lower-cased words; fewer words: the whole sequence."""
+    """XXH64 of the shingles of A-Z lower-cased words, repeats included; fewer words: the whole sequence."""
     words = b.lower().split()
-    parts = {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or {b" ".join(words)}
-    return np.unique(np.array([xxh64(p) for p in parts], dtype=np.uint64))
+    return np.array([xxh64(b" ".join(words[i : i + shingle]), 42) for i in range(max(len(words) - shingle + 1, 1))], dtype=np.uint64)
 
 
-def band_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, keys: of each band, the hash of `rows` minima of the shingles' hashes under as many random odd factors."""
+def text_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """h1, h2, doc_id, fp (the majority fingerprint), keys (of each band, the hash of `rows` minima of the shingles' hashes under as many odd factors) of docs (h1, h2, doc_id, text)."""
 
     def run(batches):
         import xxhash
 
         factors = np.random.default_rng(9).integers(0, 1 << 64, bands * rows, dtype=np.uint64) | np.uint64(1)
-        for ids, texts in text_batches(batches):
-            low = np.full((len(texts), bands * rows), ~np.uint64(0))
-            for k, b in enumerate(texts):
-                hashes = shingle_hashes(b, shingle, xxhash.xxh64_intdigest)
+        for batch in batches:
+            low, prints = np.full((batch.num_rows, bands * rows), ~np.uint64(0)), []
+            for k, text in enumerate(batch.column("text")):
+                hashes = shingle_hashes((text.as_py() or "").encode(), shingle, xxhash.xxh64_intdigest)
+                prints.append(majority(ones_of(hashes), len(hashes)))
+                hashes = np.unique(hashes, return_counts=True)[0]
                 for at in range(0, len(hashes), 2048):
                     np.minimum(low[k], (hashes[at : at + 2048, None] * factors).min(axis=0), out=low[k])
-            keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(texts), bands))
+            keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands))
             for row in range(rows):
                 keys = mix(keys ^ mix(low[:, row::rows]))
             every = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), every], names=["doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["h1", "h2", "doc_id"]).columns, pa.array(prints, type=pa.int64()), every], names=["h1", "h2", "doc_id", "fp", "keys"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, keys array<long>")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, fp long, keys array<long>")
 
 
 def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """(u, v): links that join the components (node, component) of the texts of each key of met (key, doc_id), tested on sets (doc_id, shingles).
+    """(u, v): links that join the components (node, component) of the texts of each key of met (key, node), tested on sets (node, shingles).
 
     Texts outside the key's largest component are dealt to blocks and tested against blocks of all its texts. Blocks leave out pairs
     that their own links have joined already.
     """
-    named = met.select("key", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sets.select("doc_id", F.octet_length("shingles").alias("size")), "doc_id")
-    named = Step(named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), "size"), "large-buckets").df
+    named = met.select("key", "node").join(joined, "node", "left").join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
+    named = Step(named.select("key", "node", F.coalesce("component", "node").alias("component"), "size"), "large-buckets").df
     parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     most = F.max(F.struct("n", "size", "component"))
     whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("most")).where("parts > 1")
     blocks = lambda n, size: F.ceil(F.greatest(n / block, size / block_bytes, F.lit(1))).cast("int")
     dealt = whole.select("key", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("outs"), blocks(F.col("n"), F.col("size")).alias("alls"))
     rows = Step(named.drop("size").join(dealt, "key").withColumn("out", F.col("component") != F.col("main")), "outside").df
-    at = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    left = rows.where("out").select("key", at(F.col("outs")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "doc_id", "component", "out", F.lit(True).alias("one"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), at(F.col("alls")).alias("j"), "doc_id", "component", "out", F.lit(False).alias("one"))
-    sides = Step(left.union(right).join(sets, "doc_id"), "block-sides").df
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    left = rows.where("out").select("key", at(F.col("outs")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "node", "component", "out", F.lit(True).alias("one"))
+    right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), at(F.col("alls")).alias("j"), "node", "component", "out", F.lit(False).alias("one"))
+    sides = Step(left.union(right).join(sets, "node"), "block-sides").df
 
     def test(rows: pa.Table) -> pa.Table:
-        ids, parent, found = rows["doc_id"].to_pylist(), {}, []
+        ids, parent, found = rows["node"].to_pylist(), {}, []
         component, out, one = (rows[c].to_pylist() for c in ("component", "out", "one"))
         hashes = [np.frombuffer(b, "<u8") for b in rows["shingles"].to_pylist()]
 
@@ -242,55 +255,75 @@ def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, bands: int = 24, rows: int = 5, block: int = 256) -> DataFrame:
-    """docs, all columns, with one row of each group of near copies: the one with the smallest doc_id.
+    """docs, all columns, with one row of each group of near copies: the one with the smallest doc_id (of equal ids, the smallest hash).
 
     Groups: equal texts, and texts joined by pairs whose sets of `shingle` words have a Jaccard similarity of at least `similarity`.
-    Fingerprints within 2 bits meet few pairs of that similarity, so candidates share one of `bands` keys of `rows` MinHash values: a
-    pair at 0.8 meets but for (1 - 0.8^5)^24 = 7e-5, closer ones more surely; false meetings fail the verification. Buckets of up to
-    `bucket` texts are paired, larger ones with one of their texts, another for each key; then each pair of a larger bucket that these
-    links have not joined is tested in blocks of about `block` texts, so no pair that shares a key is left out. Rows without an id stay.
+    Candidates are of two kinds, and both are verified. Fingerprints within 2 bits, found by their Golay keys as above: equal ones meet
+    one of their texts, others one of each. Since few pairs of that similarity have such fingerprints, texts also meet that share one
+    of `bands` keys of `rows` MinHash values: a pair at 0.8 is missed but for (1 - 0.8^5)^24 = 7e-5, closer ones more rarely. Buckets
+    of up to `bucket` texts are paired, larger ones with one of their texts, one of three over all keys; then each pair of a larger bucket
+    that these links have not joined is tested in blocks of about `block` texts, so no pair that shares a key is left out.
+
+    Null texts are empty; ids may be shared by different texts, each of which is judged on its own; repeated rows count once; rows
+    without an id stay; texts of any length are taken whole; columns may have any names; an empty table gives no rows.
     """
-    hashes = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2")]
-    with_id = docs.where("doc_id is not null")
-    prints = Step(band_keys(with_id, shingle, bands, rows), "bands").df.groupBy("doc_id").agg(F.min("keys").alias("keys"))
-    twins = Step(with_id.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes).groupBy("h1", "h2").agg(F.min("doc_id").alias("low")), "twins")
-    first = twins.df.select(F.col("low").alias("doc_id")).distinct()
-    every = Step(first.join(prints, "doc_id").select("doc_id", F.explode("keys").alias("key")), "band-keys")
-    sizes = every.df.groupBy("key").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("hub")).where("n > 1")
+    bounded_batches(docs.sparkSession)
+    name = {c: free(docs, f"textloom_{c}") for c in ("id", "h1", "h2")}
+    hashes = {name["id"]: F.col("doc_id").cast("long"), name["h1"]: F.xxhash64(F.coalesce("text", F.lit(""))), name["h2"]: F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))}
+    with_id = docs.where("doc_id is not null").withColumns(hashes)
+    own = with_id.select(F.col(name["h1"]).alias("h1"), F.col(name["h2"]).alias("h2"), F.col(name["id"]).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = Step(text_keys(own, shingle, bands, rows), "text-keys")
+    once = keyed.df.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    twins = Step(once.withColumn("node", F.monotonically_increasing_id()), "twins")  # a node for each different text
+    keyed.drop()
+    hubs = Step(twins.df.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
+    near = Step(links(hubs.df.select("fp"), bucket), "links").df
+    hub = lambda c: hubs.df.select(F.col("fp").alias(c), F.col("hub").alias("a" if c == "u" else "b"))
+    across = near.join(hub("u"), "u").join(hub("v"), "v").select("a", "b")
+    within = twins.df.select("fp", "node").join(hubs.df, "fp").where("node <> hub").select("hub", "node")
+    every = Step(twins.df.select("node", F.explode("keys").alias("key")), "band-keys")
+    sizes = every.df.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.pmod("key", F.lit(3)), "node")).alias("hub")).where("n > 1")
     met = Step(every.df.join(sizes, "key"), "band-buckets")
     every.drop()
-    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("doc_id").alias("ids"))
-    small = small.select("ids", F.explode("ids").alias("a")).select("a", F.explode("ids").alias("b")).where("a < b")
-    stars = met.df.where((F.col("n") > bucket) & (F.col("doc_id") != F.col("hub"))).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-    pairs = Step(small.union(stars).distinct(), "band-pairs")
-    ends = met.df.select("doc_id").distinct()
+    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("node").alias("nodes"))
+    small = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
+    stars = met.df.where((F.col("n") > bucket) & (F.col("node") != F.col("hub"))).select("node", "hub")
+    pairs = small.union(stars).union(within).union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = Step(pairs, "near-pairs")
+    ends = Step(twins.df.select("node", "h1", "h2", "low").join(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).distinct(), "node"), "ends")
 
     def sets(batches):
         import xxhash
 
         for batch in batches:
-            blobs = [shingle_hashes((text or "").encode(), shingle, xxhash.xxh64_intdigest).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, type=pa.binary())], names=["doc_id", "shingles"])
+            blobs = [np.unique(shingle_hashes(text.as_py().encode(), shingle, xxhash.xxh64_intdigest), return_counts=True)[0].tobytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(blobs, type=pa.binary())], names=["node", "shingles"])
 
-    chosen = with_id.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi")
-    chosen = Step(chosen.mapInArrow(sets, "doc_id long, shingles binary").groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingle-sets").df
+    chosen = own.withColumnRenamed("doc_id", "low").join(ends.df, ["low", "h1", "h2"]).select("node", "text")
+    chosen = Step(chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     def alike(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            for a, b in zip(batch.column("x"), batch.column("y")):
+                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, type=pa.bool_()))
 
-    one, two = chosen.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), chosen.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    one, two = chosen.df.select(F.col("node").alias("a"), F.col("shingles").alias("x")), chosen.df.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     edges = pairs.df.join(one, "a").join(two, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(alike, "u long, v long")
-    joined = Step(components(edges), "near-components").df
-    others = unlike_pairs(met.df.where(F.col("n") > bucket), joined, chosen, similarity, block)
-    groups = components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(others)).where("node <> component").select(F.col("node").alias("low"))
-    kept = twins.df.join(groups, "low", "left_anti").select(F.col("low").alias("doc_id"), "h1", "h2")
-    names = docs.columns
-    rest = with_id.withColumns({"_h1": hashes[0], "_h2": hashes[1]})
-    rest = rest.join(kept, (rest["doc_id"].cast("long") == kept["doc_id"]) & (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")), "left_semi")
-    return rest.dropDuplicates(["doc_id", "_h1", "_h2"]).select(*names).unionByName(docs.where("doc_id is null"))
+    joined = Step(components(edges), "near-components")
+    others = unlike_pairs(met.df.where(F.col("n") > bucket), joined.df, chosen.df, similarity, block)
+    groups = Step(components(joined.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(others)), "near-groups")
+    for step in (hubs, met, pairs, ends, chosen, joined):
+        step.drop()
+    named = groups.df.join(twins.df.select("node", "low", "h1", "h2"), "node")
+    best = named.groupBy("component").agg(F.min(F.struct("low", "h1", "h2", "node")).alias("best"))
+    gone = named.join(best, "component").where("node <> best.node").select("node")
+    kept = Step(twins.df.join(gone, "node", "left_anti").select(F.col("low").alias(name["id"]), F.col("h1").alias(name["h1"]), F.col("h2").alias(name["h2"])), "kept")
+    twins.drop()
+    groups.drop()
+    rest = with_id.join(kept.df, [*name.values()], "left_semi").dropDuplicates([*name.values()])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rest.select(*columns).unionByName(docs.where("doc_id is null"))
