@@ -44,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = Step(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        step = Step(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.drop()
+        docs, before = step.df, step
     return docs
