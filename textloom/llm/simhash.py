@@ -182,27 +182,28 @@ def shingle_hashes(b: bytes, shingle: int, xxh64) -> np.ndarray:
 
 
 def text_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """h1, h2, doc_id, fp (the majority fingerprint), keys (of each band, the hash of `rows` minima of the shingles' hashes under as many odd factors) of docs (h1, h2, doc_id, text)."""
+    """h1, h2, doc_id, fp (the majority fingerprint), size (distinct shingles), keys (of each band, the hash of `rows` minima of the shingles' hashes under as many odd factors) of docs (h1, h2, doc_id, text)."""
 
     def run(batches):
         import xxhash
 
         factors = np.random.default_rng(9).integers(0, 1 << 64, bands * rows, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
-            low, prints = np.full((batch.num_rows, bands * rows), ~np.uint64(0)), []
+            low, prints, sizes = np.full((batch.num_rows, bands * rows), ~np.uint64(0)), [], []
             for k, text in enumerate(batch.column("text")):
                 hashes = shingle_hashes((text.as_py() or "").encode(), shingle, xxhash.xxh64_intdigest)
                 prints.append(majority(ones_of(hashes), len(hashes)))
                 hashes = np.unique(hashes, return_counts=True)[0]
+                sizes.append(len(hashes))
                 for at in range(0, len(hashes), 2048):
                     np.minimum(low[k], (hashes[at : at + 2048, None] * factors).min(axis=0), out=low[k])
             keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands))
             for row in range(rows):
                 keys = mix(keys ^ mix(low[:, row::rows]))
             every = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.select(["h1", "h2", "doc_id"]).columns, pa.array(prints, type=pa.int64()), every], names=["h1", "h2", "doc_id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.select(["h1", "h2", "doc_id"]).columns, pa.array(prints, type=pa.int64()), pa.array(sizes, type=pa.int64()), every], names=["h1", "h2", "doc_id", "fp", "size", "keys"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, fp long, keys array<long>")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, fp long, size long, keys array<long>")
 
 
 def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int = 8 << 20) -> DataFrame:
@@ -273,24 +274,27 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
     with_id = docs.where("doc_id is not null").withColumns(hashes)
     own = with_id.select(F.col(name["h1"]).alias("h1"), F.col(name["h2"]).alias("h2"), F.col(name["id"]).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = Step(text_keys(own, shingle, bands, rows), "text-keys")
-    once = keyed.df.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    once = keyed.df.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     twins = Step(once.withColumn("node", F.monotonically_increasing_id()), "twins")  # a node for each different text
     keyed.drop()
-    hubs = Step(twins.df.groupBy("fp").agg(F.min("node").alias("hub")), "hubs")
-    near = Step(links(hubs.df.select("fp"), bucket), "links").df
+    text = F.struct("node", "size")
+    hubs = Step(twins.df.groupBy("fp").agg(F.min(text).alias("hub")), "hubs")
+    near = Step(links(hubs.df.select("fp"), bucket), "links")
     hub = lambda c: hubs.df.select(F.col("fp").alias(c), F.col("hub").alias("a" if c == "u" else "b"))
-    across = near.join(hub("u"), "u").join(hub("v"), "v").select("a", "b")
-    within = twins.df.select("fp", "node").join(hubs.df, "fp").where("node <> hub").select("hub", "node")
-    every = Step(twins.df.select("node", F.explode("keys").alias("key")), "band-keys")
-    sizes = every.df.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.pmod("key", F.lit(3)), "node")).alias("hub")).where("n > 1")
+    across = near.df.join(hub("u"), "u").join(hub("v"), "v").select("a", "b")
+    within = twins.df.select("fp", text.alias("b")).join(hubs.df, "fp").select(F.col("hub").alias("a"), "b")
+    every = Step(twins.df.select(text.alias("t"), F.explode("keys").alias("key")), "band-keys")
+    sizes = every.df.groupBy("key").agg(F.count("*").alias("n"), F.min_by("t", F.xxhash64(F.pmod("key", F.lit(3)), "t.node")).alias("hub")).where("n > 1")
     met = Step(every.df.join(sizes, "key"), "band-buckets")
     every.drop()
-    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    small = small.select("nodes", F.explode("nodes").alias("a")).select("a", F.explode("nodes").alias("b")).where("a < b")
-    stars = met.df.where((F.col("n") > bucket) & (F.col("node") != F.col("hub"))).select("node", "hub")
-    pairs = small.union(stars).union(within).union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = Step(pairs, "near-pairs")
-    ends = Step(twins.df.select("node", "h1", "h2", "low").join(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).distinct(), "node"), "ends")
+    small = met.df.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("t").alias("texts"))
+    small = small.select("texts", F.explode("texts").alias("a")).select("a", F.explode("texts").alias("b"))
+    stars = met.df.where(F.col("n") > bucket).select(F.col("hub").alias("a"), F.col("t").alias("b"))
+    large = met.df.where(F.col("n") > bucket).select("key", F.col("t.node").alias("node"))
+    can = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")  # the similarity is at most the quotient of the sizes
+    pairs = small.union(stars).union(within).union(across).where(can & (F.col("a.node") != F.col("b.node")))
+    pairs = Step(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "near-pairs")
+    ends = Step(twins.df.select("node", "h1", "h2", "low").join(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).union(large.select("node")).distinct(), "node"), "ends")
 
     def sets(batches):
         import xxhash
@@ -314,9 +318,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
     one, two = chosen.df.select(F.col("node").alias("a"), F.col("shingles").alias("x")), chosen.df.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     edges = pairs.df.join(one, "a").join(two, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(alike, "u long, v long")
     joined = Step(components(edges), "near-components")
-    others = unlike_pairs(met.df.where(F.col("n") > bucket), joined.df, chosen.df, similarity, block)
+    others = unlike_pairs(large, joined.df, chosen.df, similarity, block)
     groups = Step(components(joined.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(others)), "near-groups")
-    for step in (hubs, met, pairs, ends, chosen, joined):
+    for step in (hubs, near, met, pairs, ends, chosen, joined):
         step.drop()
     named = groups.df.join(twins.df.select("node", "low", "h1", "h2"), "node")
     best = named.groupBy("component").agg(F.min(F.struct("low", "h1", "h2", "node")).alias("best"))
