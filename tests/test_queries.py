@@ -41,7 +41,7 @@ def test_entry(spark):
 
 
 def test_curriculum_has_a_place_for_every_document(spark):
-    docs, got = spark.read.parquet(f"{SF}/documents.parquet").count(), registry.QUERIES["curriculum_places"](spark, SF).collect()
+    docs, got = spark.read.parquet(f"{SF}/documents.parquet").count(), registry.QUERIES["curriculum_order"](spark, SF).collect()
     assert docs > 100 and sorted(r["place"] for r in got) == list(range(1, docs + 1))
     from textloom.operators import splits
 
@@ -53,6 +53,6 @@ def test_curriculum_has_a_place_for_every_document(spark):
 
 def test_samples_and_exclusion_look_at_every_row(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r["doc_id"]: (r["level"], r["text"]) for r in registry.QUERIES["samples_of_all"](spark, SF).collect()}
+    got = {r["doc_id"]: (r["level"], r["text"]) for r in registry.QUERIES["samples_by_level"](spark, SF).collect()}
     assert got == {i: ("A1 A2 B1".split()[i % 6], t) for i, t in docs.items() if i % 6 < 3} and max(got) >= 60
-    assert {r["id"] % 2 for r in registry.QUERIES["dpo_exclude_eval_all"](spark, SF).collect()} == {0, 1}
+    assert {r["id"] % 2 for r in registry.QUERIES["dpo_exclude_eval"](spark, SF).collect()} == {0, 1}

@@ -17,11 +17,16 @@ def let(value: Column, f) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"({NOT_WS}+)"), F.lit(1))
+    return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"{NOT_WS}+"))
+    """Parts between white space, less the empty ones at an edge; several times as fast as building every match."""
+    def count(x: Column) -> Column:
+        edges = sum((F.when(F.substring(x, at, 1).rlike(WS), 1).otherwise(0) for at in (1, -1)), F.lit(0))
+        return F.when(x == "", 0).otherwise(F.size(F.split(x, f"{WS}+")) - edges)
+
+    return let(c, lambda x: F.when(x.isNotNull(), count(x)))
 
 
 def strip(c: Column) -> Column:

@@ -31,26 +31,41 @@ GRPO = (
 GRPO_REWARD = rf"^\s*•\s*([a-zA-Z_][a-zA-Z0-9_]*):\s*μ=({NUM}),\s*σ=({NUM}),\s*cov="
 
 
-def _metrics(line: Column, pattern: str, names, prefix: str, first: int) -> Column:
-    entries = [F.struct(F.lit(f"{prefix}/{n}").alias("metric"), F.regexp_extract(line, pattern, k + first).try_cast("double").alias("value")) for k, n in enumerate(names)]
-    return F.when(line.rlike(pattern), F.array(*entries))
+def _groups(line: Column, pattern: str, n: int) -> Column:
+    """The n groups of the pattern's first match, after an empty string; a line without a match is one part. One run of the pattern."""
+    return F.split(F.regexp_replace(line, f"(?s)^.*?{pattern}.*$", "".join(f"\u0001${k}" for k in range(1, n + 1))), "\u0001")
 
 
-def flat(line: Column, formats: dict) -> tuple[Column, Column]:
-    """(iter, array of metric and value) of a stateless format; nulls for other lines."""
-    step = F.coalesce(*[F.when(line.rlike(p), F.regexp_extract(line, p, 1).cast("int")) for p, _ in formats.values()])
-    return step, F.coalesce(*[_metrics(line, p, names, kind, 2) for kind, (p, names) in formats.items()])
+def _match(line: Column, pattern: str, n: int, then) -> Column:
+    """then(groups) of the n groups where the line matches, else null."""
+    return T.let(_groups(line, pattern, n), lambda g: F.when(F.size(g) == n + 1, then(g)))
+
+
+def _metrics(g: Column, names, prefix: str, first: int) -> Column:
+    return F.array(*[F.struct(F.lit(f"{prefix}/{name}").alias("metric"), F.get(g, F.lit(k + first)).try_cast("double").alias("value")) for k, name in enumerate(names)])
+
+
+def flat(line: Column, formats: dict) -> Column:
+    """Struct of iter and m (array of metric and value) of a stateless format; null for other lines."""
+    each = [
+        _match(line, p, len(names) + 1, lambda g, kind=kind, names=names: F.struct(F.get(g, F.lit(1)).cast("int").alias("iter"), _metrics(g, names, kind, 2).alias("m")))
+        for kind, (p, names) in formats.items()
+    ]
+    return F.coalesce(*each)
 
 
 def grpo(line: Column) -> tuple[Column, Column, Column]:
     """(iteration a header starts, iteration of a line that names its own, metrics) of one stripped line."""
     s = T.strip(line)
-    header = F.when(s.rlike(GRPO_HEADER), F.regexp_extract(s, GRPO_HEADER, 1).cast("int"))
-    own = F.when(s.rlike(GRPO_VALID), F.regexp_extract(s, GRPO_VALID, 1).cast("int"))
-    name = F.replace(F.replace(F.regexp_extract(s, GRPO_REWARD, 1), F.lit("_reward_func"), F.lit("")), F.lit("_reward"), F.lit(""))
-    reward = F.when(s.rlike(GRPO_REWARD), F.array(*[F.struct(F.concat(F.lit("train/reward_"), name, F.lit(end)).alias("metric"), F.regexp_extract(s, GRPO_REWARD, g).try_cast("double").alias("value")) for g, end in ((2, "_mean"), (3, "_std"))]))
-    metrics = F.coalesce(_metrics(s, GRPO_VALID, ("loss",), "valid", 2), *[_metrics(s, p, names, "train", 1) for p, names in GRPO], reward)
-    return header, own, metrics
+    header = _match(s, GRPO_HEADER, 1, lambda g: F.get(g, F.lit(1)).cast("int"))
+    own = _match(s, GRPO_VALID, 2, lambda g: F.get(g, F.lit(1)).cast("int"))
+
+    def reward(g: Column) -> Column:
+        name = F.replace(F.replace(F.get(g, F.lit(1)), F.lit("_reward_func"), F.lit("")), F.lit("_reward"), F.lit(""))
+        return F.array(*[F.struct(F.concat(F.lit("train/reward_"), name, F.lit(end)).alias("metric"), F.get(g, F.lit(k)).try_cast("double").alias("value")) for k, end in ((2, "_mean"), (3, "_std"))])
+
+    plain = [_match(s, p, len(names), lambda g, names=names: _metrics(g, names, "train", 1)) for p, names in GRPO]
+    return header, own, F.coalesce(_match(s, GRPO_VALID, 2, lambda g: _metrics(g, ("loss",), "valid", 2)), *plain, _match(s, GRPO_REWARD, 3, reward))
 
 
 def tall(df: DataFrame, step: Column, metrics: Column) -> DataFrame:
@@ -60,7 +75,8 @@ def tall(df: DataFrame, step: Column, metrics: Column) -> DataFrame:
 
 def flat_metrics(lines: DataFrame, formats: dict) -> DataFrame:
     """run_id, line_no, iter, metric, value from lines (run_id, line_no, value)."""
-    return tall(lines, *flat(F.col("value"), formats))
+    rows = lines.select("run_id", "line_no", flat(F.col("value"), formats).alias("f"))
+    return tall(rows, F.col("f.iter"), F.col("f.m"))
 
 
 def grpo_metrics(lines: DataFrame) -> DataFrame:

@@ -41,16 +41,8 @@ def sft_exclude_eval(spark, d):
     return rows.select("id", splits.split(C("source"), 0.1).alias("split"))
 
 
-@query(f"with {I.PAIRS}, t as (select id, source as prompt from pairs where id % 2 = 0) select id, case when {BUCKET.format('prompt')} < 0.1 then 'valid' else 'train' end as split from t anti join benchmark on prompt = text")
-def dpo_exclude_eval(spark, d):
-    triples = I.pairs(spark, d).where("id % 2 = 0").select("id", C("source").alias("prompt"))
-    rows = splits.without(triples, I.benchmark_keys(spark, d), "prompt", "text")
-    return rows.select("id", splits.split(C("prompt"), 0.1).alias("split"))
-
-
 @query(f"with {I.PAIRS}, t as (select id, source as prompt from pairs) select id, case when {BUCKET.format('prompt')} < 0.1 then 'valid' else 'train' end as split from t anti join benchmark on prompt = text")
-def dpo_exclude_eval_all(spark, d):
-    """As dpo_exclude_eval, over every pair."""
+def dpo_exclude_eval(spark, d):
     rows = splits.without(I.pairs(spark, d).select("id", C("source").alias("prompt")), I.benchmark_keys(spark, d), "prompt", "text")
     return rows.select("id", splits.split(C("prompt"), 0.1).alias("split"))
 
@@ -127,18 +119,9 @@ def ab_side_by_side(spark, d):
     return I.pairs(spark, d).where(F.length("output") > 200).select("id", C("output").alias("old_simple"), F.substring("output", 1, 200).alias("simple"))
 
 
-@query(f"select doc_id, cast(len({WORDS.format('text')}) as bigint) as n_words, row_number() over (order by len({WORDS.format('text')}), doc_id) as place from documents order by place limit 100")
-def curriculum_order(spark, d):
-    """The first 100 of the curriculum: shortest first, input order among equals (a top-k report)."""
-    from pyspark.sql import Window
-
-    top = I.documents(spark, d).select("doc_id", T.word_count(C("text")).cast("long").alias("n_words")).orderBy("n_words", "doc_id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("n_words", "doc_id")).cast("long"))
-
-
 @query(f"select doc_id, cast(len({WORDS.format('text')}) as bigint) as n_words, row_number() over (order by len({WORDS.format('text')}), doc_id) as place from documents")
-def curriculum_places(spark, d):
-    """The whole curriculum: the place of every document."""
+def curriculum_order(spark, d):
+    """The place of every document: shortest first, input order among equals."""
     return splits.curriculum(I.documents(spark, d).select("doc_id", T.word_count(C("text")).cast("long").alias("n_words")), "n_words", "doc_id")
 
 

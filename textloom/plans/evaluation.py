@@ -17,16 +17,8 @@ def levelled(spark, d):
     return I.documents(spark, d).withColumn("level", level)
 
 
-@query(f"with l as (select doc_id, text, {LEVEL} as level from documents where doc_id < 60) select level, string_agg(left(text, 40), '|' order by doc_id) as texts from l where level in ('A1','A2','B1') group by level")
-def samples_by_level(spark, d):
-    """Few-shot samples (the first 60 documents stand for the sample file) by level, in file order."""
-    rows = levelled(spark, d).where("doc_id < 60 and level in ('A1', 'A2', 'B1')")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("t")))), lambda s: s["t"])
-    return rows.groupBy("level").agg(F.array_join(texts, "|").alias("texts"))
-
-
 @query(f"with l as (select doc_id, text, {LEVEL} as level from documents) select level, doc_id, text from l where level in ('A1','A2','B1')")
-def samples_of_all(spark, d):
+def samples_by_level(spark, d):
     """Few-shot samples of all documents, whole texts: a row for each, so that no level's list is held at once; file order is that of doc_id."""
     return levelled(spark, d).where("level in ('A1', 'A2', 'B1')").select("level", "doc_id", "text")
 
@@ -41,14 +33,14 @@ EVAL = f"with {I.PAIRS}, e as (select id, ['A1','A2','B1','B2+','<A1','NA'][id %
 
 def evaluated(spark, d):
     level = F.get(F.array(*map(F.lit, ("A1", "A2", "B1", "B2+", "<A1", "NA"))), F.pmod("id", F.lit(6)).cast("int"))
-    return I.pairs(spark, d).select("id", level.alias("level"), T.word_count(C("source")).alias("a"), T.word_count(C("output")).alias("b"), "output")
+    return I.pair_counts(spark, d, T.word_count, "text").select("id", level.alias("level"), C("n").alias("a"), C("m").alias("b"), C("text").alias("output"))
 
 
 @query(f"{EVAL} select count(*) as n, round(avg((level = 'A2')::int), 6)::double as pct_a2, round(avg((level in ('A1','<A1'))::int), 6)::double as pct_too_easy, round(avg((level in ('B1','B2+'))::int), 6)::double as pct_too_hard, round(avg(case when a > 0 then b / a end), 6)::double as mean_length_ratio from e")
 def eval_summary(spark, d):
     share = lambda *levels: F.round(F.coalesce(F.avg(F.when(C("level").isin(*levels), 1.0).otherwise(0.0)), F.lit(0.0)), 6)
     ratio = F.round(F.coalesce(F.avg(F.when(C("a") > 0, C("b") / F.nullif(C("a"), F.lit(0)))), F.lit(0.0)), 6)
-    return evaluated(spark, d).agg(F.count("*").alias("n"), share("A2").alias("pct_a2"), share("A1", "<A1").alias("pct_too_easy"), share("B1", "B2+").alias("pct_too_hard"), ratio.alias("mean_length_ratio"))
+    return evaluated(spark, d).drop("output").agg(F.count("*").alias("n"), share("A2").alias("pct_a2"), share("A1", "<A1").alias("pct_too_easy"), share("B1", "B2+").alias("pct_too_hard"), ratio.alias("mean_length_ratio"))
 
 
 @query(f"{EVAL}, c as (select id, output, case when level = 'A2' then 'on_target' when level in ('A1','<A1') then 'too_easy' when level in ('B1','B2+') then 'too_hard' end as category from e) select category, min(id) as id, left(arg_min(output, id), 300) as excerpt from c where category is not null group by category")

@@ -25,6 +25,13 @@ def pairs(spark, d):
     return docs.join(after.hint("merge"), "doc_id").select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("src"), F.col("text").alias("source"), "output")
 
 
+def pair_counts(spark, d, count, *later: str):
+    """id, n, m (count of either text, taken before the join, so that counts are shuffled and not texts), and columns `later` of the second document."""
+    docs = documents(spark, d).withColumn("count", count(F.col("text")))
+    after = docs.select((F.col("doc_id") - PAIR_STEP).alias("doc_id"), F.col("count").alias("m"), *later)
+    return docs.select("doc_id", F.col("count").alias("n")).join(after.hint("merge"), "doc_id").withColumnRenamed("doc_id", "id")
+
+
 PAIRS = f"pairs as (select d.doc_id as id, d.lang, d.source as src, d.text as source, e.text as output from documents d join documents e on e.doc_id = d.doc_id + {PAIR_STEP})"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..functions import text as T
 from ..operators import rewards
 from . import inputs as I
 from .registry import query
@@ -48,12 +49,12 @@ def scored(spark, d, judged: bool = True) -> DataFrame:
 
 @query(f"with {I.PAIRS}, {LENGTH} select id, round(length, 6)::double as score from length_")
 def length_reward(spark, d):
-    return I.pairs(spark, d).select("id", r6(S.length_reward(C("source"), C("output"))).alias("score"))
+    return I.pair_counts(spark, d, T.word_count).select("id", r6(S.band_score(C("n"), C("m"))).alias("score"))
 
 
 @query(f"with {I.PAIRS}, {RATIO} select id, round(ratio, 6)::double as score from ratio_")
 def length_ratio_score(spark, d):
-    return I.pairs(spark, d).select("id", r6(S.length_ratio(C("source"), C("output"))).alias("score"))
+    return I.pair_counts(spark, d, lambda text: T.word_count(T.clean(text))).select("id", r6(S.ratio_score(C("n"), C("m"))).alias("score"))
 
 
 @query(f"with {I.PAIRS}, {PACING} select id, round(pacing, 6)::double as score from pacing_")
@@ -84,11 +85,11 @@ def difficulty_score(spark, d):
 @query(f"with {I.PAIRS}, {I.VERDICTS} select md5(source || chr(1) || output) as pair, min(f) as f, min(h) as h, min(lvl) as lvl, count(*) as n from pairs join verdicts using (id) group by all")
 def judge_bundle(spark, d):
     """One verdict for each distinct pair, joined back to all rows that share it."""
-    rows = I.pairs(spark, d).join(I.verdicts(spark, d), "id")
-    once = rows.groupBy("source", "output").agg(F.min("f").alias("f"), F.min("h").alias("h"), F.min("lvl").alias("lvl"))
-    back = rows.select("id", "source", "output").join(once, ["source", "output"], "left")
-    key = F.md5(F.concat(C("source"), F.lit("\u0001"), C("output"))).alias("pair")
-    return back.groupBy(key).agg(F.min("f").alias("f"), F.min("h").alias("h"), F.min("lvl").alias("lvl"), F.count("*").alias("n"))
+    key = F.md5(F.concat(C("source"), F.lit("\u0001"), C("output"))).alias("pair")  # 128 bits stand for both texts
+    rows = I.pairs(spark, d).select("id", key).join(I.verdicts(spark, d), "id")
+    once = rows.groupBy("pair").agg(F.min("f").alias("f"), F.min("h").alias("h"), F.min("lvl").alias("lvl"))
+    back = rows.select("id", "pair").join(once, "pair", "left")
+    return back.groupBy("pair").agg(F.min("f").alias("f"), F.min("h").alias("h"), F.min("lvl").alias("lvl"), F.count("*").alias("n"))
 
 
 COLUMNS = ("length", "vocab", "repetition", "markdown", "meaning", "difficulty", "combined")

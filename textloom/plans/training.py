@@ -44,12 +44,12 @@ def grpo_log_metrics(spark, d):
     return rounded(logs.grpo_metrics(I.log_lines(spark, d, "grpo")))
 
 
-@query()
+@query("select user_id as run_id, kind, cast(arg_max(event_id % 1000, event_id) as int) as iter, cast(any_value(n) as int) as n_metrics from (select *, case when event_id % 5 = 0 then 'valid' else 'train' end as kind, case when event_id % 5 = 0 then 1 else 6 end as n from events where event_id % 5 <> 1) group by user_id, kind")
 def log_last_metrics(spark, d):
     return logs.last_metrics(sft_log_metrics(spark, d)).select("run_id", "kind", "iter", F.size("metrics").alias("n_metrics"))
 
 
-@query()
+@query("select distinct md5(text) as prompt from documents where doc_id % 5 <> 0 and doc_id % 4 <> 0 and text is not null")
 def scan_tolerant(spark, d):
     """Distinct prompts of JSON lines some of which are broken or lack the key."""
     docs = I.documents(spark, d)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ def strict(spark: SparkSession, path: str, schema: str | T.StructType, required:
 
 def tolerant_keys(lines: DataFrame, key: str) -> DataFrame:
     """Distinct non-null values of a key in lines (value); broken lines and lines without it are skipped."""
-    return lines.select(F.get_json_object("value", f"$.{key}").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return lines.select(F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "string").alias(key)).where(F.col(key).isNotNull()).distinct()
 
 
 def tolerant(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -77,10 +78,41 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return digest.hexdigest()[:16] if found else "missing"
 
 
+def _replace(spark: SparkSession, aside: str, path: str) -> None:
+    """Rename a file over another in one step."""
+    jvm = spark._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else jvm.java.net.URI("file:///"), spark._jsc.hadoopConfiguration()).rename(jvm.org.apache.hadoop.fs.Path(aside), to, how)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file of text, written aside and renamed over what was there: readers see the old or the new, never neither."""
+    aside = f"{path}.{uuid.uuid4().hex}"
+    p, fs = _fs(spark, aside)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _replace(spark, aside, path)
+
+
+def write_split_file(df: DataFrame, folder: str, name: str) -> None:
+    """Exactly folder/name.jsonl, one object a line, nulls kept, in the order of df's partitions: parts are written in parallel, then joined as streams."""
+    spark, aside, whole = df.sparkSession, f"{folder}/.{name}-{uuid.uuid4().hex}", f"{folder}/.{name}-{uuid.uuid4().hex}.jsonl"
+    df.write.option("ignoreNullFields", "false").json(aside)
+    p, fs = _fs(spark, aside)
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(whole), True)
+    for part in sorted(x.getPath().toString() for x in fs.listStatus(p)):
+        if "/part-" in part:
+            source = fs.open(spark._jvm.org.apache.hadoop.fs.Path(part))
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, spark._jsc.hadoopConfiguration(), False)
+            source.close()
+    out.close()
+    _replace(spark, whole, f"{folder}/{name}.jsonl")
+    fs.delete(p, True)
+
+
 def write_pointer(spark: SparkSession, folder: str, target: str) -> None:
-    """folder/latest.json names the latest run: written aside, then renamed over the old one."""
-    aside = f"{folder}/.latest-{uuid.uuid4().hex}"
-    spark.createDataFrame([(target,)], "target string").coalesce(1).write.json(aside)
-    old, fs = _fs(spark, f"{folder}/latest.json")
-    fs.delete(old, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), old)
+    """folder/latest.json names the latest run."""
+    write_text(spark, f"{folder}/latest.json", json.dumps({"target": target}) + "\n")
