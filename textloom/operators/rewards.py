@@ -76,3 +76,32 @@ def audit(pairs: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     rows = pairs.select("id", COMPONENTS["length_ratio"](F.col("source"), F.col("output")).alias("length_ratio"), COMPONENTS["pacing"](F.col("source"), F.col("output")).alias("pacing"))
     rows = rows.join(verdicts.select("id", "lvl"), "id", "left") if verdicts is not None else rows.withColumn("lvl", F.lit(None).cast("string"))
     return rows.withColumn("flags", S.audit_flags(F.col("length_ratio"), F.col("pacing"), F.col("lvl")))
+
+
+#: Batch reward functions by name, as trainers call them.
+REWARD_FUNCTIONS: dict[str, Callable] = {}
+
+
+def register(name: str, outer: Callable | None = None):
+    """Registers a batch reward function here and, if a trainer's own decorator is given, there; the function itself is returned."""
+
+    def add(f):
+        REWARD_FUNCTIONS[name] = f
+        if outer is not None:
+            outer(name)(f)
+        return f
+
+    return add
+
+
+def batch_reward(spark, name: str) -> Callable[[list[str], list[str], list[str]], list[float]]:
+    """(prompts, completions, answers) -> scores of a component, in order; lists of unequal length are an error."""
+
+    def scores(prompts, completions, answer, types=None):
+        rows = [(k, p, c) for k, (p, c, _) in enumerate(zip(prompts, completions, answer, strict=True))]
+        if not rows:
+            return []
+        df = spark.createDataFrame(rows, "k long, source string, output string")
+        return [r["x"] for r in df.select("k", COMPONENTS[name](F.col("source"), F.col("output")).alias("x")).orderBy("k").collect()]  # a trainer's batch
+
+    return register(name)(scores)

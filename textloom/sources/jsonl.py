@@ -30,7 +30,9 @@ def strict(spark: SparkSession, path: str, schema: str | T.StructType, required:
 
 def tolerant_keys(lines: DataFrame, key: str) -> DataFrame:
     """Distinct non-null values of a key in lines (value); broken lines and lines without it are skipped."""
-    return lines.select(F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "string").alias(key)).where(F.col(key).isNotNull()).distinct()
+    # Spark's parser stops after the first value; no rest of a line can close both an array and an object around it
+    whole, inside = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), "value", F.lit("}")))
+    return lines.where(whole.isNotNull()).select(F.try_variant_get(inside, f"$.x.{key}", "string").alias(key)).where(F.col(key).isNotNull()).distinct()
 
 
 def tolerant(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -87,16 +89,21 @@ def _replace(spark: SparkSession, aside: str, path: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else jvm.java.net.URI("file:///"), spark._jsc.hadoopConfiguration()).rename(jvm.org.apache.hadoop.fs.Path(aside), to, how)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One file of text, written aside and renamed over what was there: readers see the old or the new, never neither."""
+def write_stream(spark: SparkSession, path: str, parts) -> None:
+    """One file of the strings of parts, written aside and renamed over what was there: readers see the old or the new, never neither."""
     aside = f"{path}.{uuid.uuid4().hex}"
     p, fs = _fs(spark, aside)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    for part in parts:
+        out.write(bytearray(part.encode()))
     out.close()
     _replace(spark, aside, path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_stream(spark, path, [text])
+
+
 def write_split_file(df: DataFrame, folder: str, name: str) -> None:
     """Exactly folder/name.jsonl, one object a line, nulls kept, in the order of df's partitions: parts are written in parallel, then joined as streams."""
     spark, aside, whole = df.sparkSession, f"{folder}/.{name}-{uuid.uuid4().hex}", f"{folder}/.{name}-{uuid.uuid4().hex}.jsonl"

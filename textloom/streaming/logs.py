@@ -41,3 +41,19 @@ def grpo_metrics(lines: DataFrame) -> DataFrame:
 
     kept = rows.groupBy("run_id").applyInPandasWithState(carry, "run_id long, line_no long, iter int, m string", "iter int", "append", "NoTimeout")
     return logs.tall(kept, F.col("iter"), F.from_json("m", "array<struct<metric:string,value:double>>"))
+
+
+def latest(metrics: DataFrame) -> DataFrame:
+    """run_id, metric, line_no, iter, value of the last line that has a metric; on a stream, state of one row for each, for output mode update."""
+    last = F.max(F.struct("line_no", "iter", "value")).alias("last")
+    return metrics.groupBy("run_id", "metric").agg(last).select("run_id", "metric", "last.*")
+
+
+def to_sink(metrics: DataFrame, write, checkpoint: str, mode: str = "append"):
+    """Starts a query that hands each micro-batch, with its number, to write(rows, batch): a sink that has seen a number may skip it, so restarts write once."""
+    return metrics.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_lines(rows: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends rows as JSON lines, each exactly once, also after a restart; readers see whole batches."""
+    return rows.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
