@@ -33,7 +33,8 @@ GRPO_REWARD = rf"^\s*•\s*([a-zA-Z_][a-zA-Z0-9_]*):\s*μ=({NUM}),\s*σ=({NUM}),
 
 def _groups(line: Column, pattern: str, n: int) -> Column:
     """The n groups of the pattern's first match, after an empty string; a line without a match is one part. One run of the pattern."""
-    return F.split(F.regexp_replace(line, f"(?s)^.*?{pattern}.*$", "".join(f"\u0001${k}" for k in range(1, n + 1))), "\u0001")
+    before = "" if pattern.startswith("^") else "^.*?"
+    return F.split(F.regexp_replace(line, f"(?s){before}{pattern}.*$", "".join(f"\u0001${k}" for k in range(1, n + 1))), "\u0001")
 
 
 def _match(line: Column, pattern: str, n: int, then) -> Column:
