@@ -206,24 +206,27 @@ def text_keys(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, fp long, size long, keys array<long>")
 
 
-def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int = 8 << 20) -> DataFrame:
-    """(u, v): links that join the components (node, component) of the texts of each key of met (key, node), tested on sets (node, shingles).
+def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity: float, block: int, block_bytes: int = 8 << 20) -> Step:
+    """Step of (u, v): links that join the components (node, component) of the texts of each key of met (key, node), tested on sets (node, shingles).
 
     Texts outside the key's largest component are dealt to blocks and tested against blocks of all its texts. Blocks leave out pairs
     that their own links have joined already.
     """
     named = met.select("key", "node").join(joined, "node", "left").join(sets.select("node", F.octet_length("shingles").alias("size")), "node")
-    named = Step(named.select("key", "node", F.coalesce("component", "node").alias("component"), "size"), "large-buckets").df
-    parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    large = Step(named.select("key", "node", F.coalesce("component", "node").alias("component"), "size"), "large-buckets")
+    parts = large.df.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     most = F.max(F.struct("n", "size", "component"))
     whole = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("most")).where("parts > 1")
     blocks = lambda n, size: F.ceil(F.greatest(n / block, size / block_bytes, F.lit(1))).cast("int")
     dealt = whole.select("key", F.col("most.component").alias("main"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("outs"), blocks(F.col("n"), F.col("size")).alias("alls"))
-    rows = Step(named.drop("size").join(dealt, "key").withColumn("out", F.col("component") != F.col("main")), "outside").df
+    outside = Step(large.df.drop("size").join(dealt, "key").withColumn("out", F.col("component") != F.col("main")), "outside")
+    large.drop()
+    rows = outside.df
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     left = rows.where("out").select("key", at(F.col("outs")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "node", "component", "out", F.lit(True).alias("one"))
     right = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), at(F.col("alls")).alias("j"), "node", "component", "out", F.lit(False).alias("one"))
-    sides = Step(left.union(right).join(sets, "node"), "block-sides").df
+    sides = Step(left.union(right).join(sets, "node"), "block-sides")
+    outside.drop()
 
     def test(rows: pa.Table) -> pa.Table:
         ids, parent, found = rows["node"].to_pylist(), {}, []
@@ -252,7 +255,9 @@ def unlike_pairs(met: DataFrame, joined: DataFrame, sets: DataFrame, similarity:
                     found.append((ids[x], ids[near[k]]))
         return pa.table({"u": pa.array([u for u, _ in found], type=pa.int64()), "v": pa.array([v for _, v in found], type=pa.int64())})
 
-    return sides.groupBy("key", "i", "j").applyInArrow(test, "u long, v long")
+    found = Step(sides.df.groupBy("key", "i", "j").applyInArrow(test, "u long, v long"), "unlike-links")
+    sides.drop()
+    return found
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket: int = 8, bands: int = 24, rows: int = 5, block: int = 256) -> DataFrame:
@@ -294,6 +299,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
     can = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size")  # the similarity is at most the quotient of the sizes
     pairs = small.union(stars).union(within).union(across).where(can & (F.col("a.node") != F.col("b.node")))
     pairs = Step(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "near-pairs")
+    hubs.drop()
+    near.drop()
     ends = Step(twins.df.select("node", "h1", "h2", "low").join(pairs.df.select(F.col("a").alias("node")).union(pairs.df.select("b")).union(large.select("node")).distinct(), "node"), "ends")
 
     def sets(batches):
@@ -305,6 +312,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
 
     chosen = own.withColumnRenamed("doc_id", "low").join(ends.df, ["low", "h1", "h2"]).select("node", "text")
     chosen = Step(chosen.mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    ends.drop()
 
     def alike(batches):
         for batch in batches:
@@ -318,10 +326,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bucket:
     one, two = chosen.df.select(F.col("node").alias("a"), F.col("shingles").alias("x")), chosen.df.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     edges = pairs.df.join(one, "a").join(two, "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(alike, "u long, v long")
     joined = Step(components(edges), "near-components")
+    pairs.drop()
     others = unlike_pairs(large, joined.df, chosen.df, similarity, block)
-    groups = Step(components(joined.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(others)), "near-groups")
-    for step in (hubs, near, met, pairs, ends, chosen, joined):
-        step.drop()
+    met.drop()
+    chosen.drop()
+    groups = Step(components(joined.df.select(F.col("node").alias("u"), F.col("component").alias("v")).union(others.df)), "near-groups")
+    joined.drop()
+    others.drop()
     named = groups.df.join(twins.df.select("node", "low", "h1", "h2"), "node")
     best = named.groupBy("component").agg(F.min(F.struct("low", "h1", "h2", "node")).alias("best"))
     gone = named.join(best, "component").where("node <> best.node").select("node")
