@@ -54,13 +54,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Shuffle files of a query go when it ends, not when the driver's garbage collector finds them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Step:
-    """A written intermediate: .df rereads it, .drop() deletes it."""
+    """A written intermediate: .df rereads it, .drop() deletes it. Shuffle files of its write are removed with the write's end."""
 
     def __init__(self, df: DataFrame, name: str):
         bounded_batches(df.sparkSession)
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession, name)
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
