@@ -56,3 +56,18 @@ def test_samples_and_exclusion_look_at_every_row(spark):
     got = {r["doc_id"]: (r["level"], r["text"]) for r in registry.QUERIES["samples_by_level"](spark, SF).collect()}
     assert got == {i: ("A1 A2 B1".split()[i % 6], t) for i, t in docs.items() if i % 6 < 3} and max(got) >= 60
     assert {r["id"] % 2 for r in registry.QUERIES["dpo_exclude_eval"](spark, SF).collect()} == {0, 1}
+
+
+def test_paragraphs_of_a_source_are_split_text_by_text(spark, tmp_path):
+    """A text without value hides no other of its source, and no source is gathered into one row."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["a\n \nb  c\n", None, "\n\nb c\n\t\n\nd\ne\n", " \n ", "", "b c", "\n\n x \n\n\n y", "a"]
+    columns = {"doc_id": list(range(len(texts))), "text": texts, "lang": ["en"] * len(texts), "source": ["s", "s", "s", "s", "s", "t", None, None]}
+    pq.write_table(pa.table(columns), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got, want = registry.QUERIES["paragraph_split"](spark, str(tmp_path)), con.execute(registry.ORACLE["paragraph_split"]).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) == 7
+    assert "collect_list" not in got._jdf.queryExecution().toString()
