@@ -483,6 +483,70 @@ def test_a_common_line_hides_no_passage_and_spans_are_those_of_brute_force(spark
         assert words_of_spans(r["spans"]) == covered[i] and r["n_words"] == len(covered[i]) and r["n_links"] >= 1
 
 
+def brute_stretches(texts, passage=50, shingle=5):
+    """Pairs of texts with a stretch of `passage` words on one diagonal, from an agreeing shingle to another, in which eight of nine agree."""
+    grams, owners = {i: [tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)] for i, w in ((i, t.split()) for i, t in texts.items())}, {}
+    for i, g in grams.items():
+        for k, x in enumerate(g):
+            owners.setdefault(x, []).append((i, k))
+    diagonals, links, least = {(i, j, a - b) for found in owners.values() for i, a in found for j, b in found if i < j}, set(), passage - shingle + 1
+    for i, j, shift in diagonals:
+        g, h, low = grams[i], grams[j], max(0, shift)
+        same = np.array([g[k] == h[k - shift] for k in range(low, min(len(g), len(h) + shift))])
+        total, at = np.r_[0, np.cumsum(np.where(same, 1, -8))], np.flatnonzero(same)
+        long = at[None, :] - at[:, None] + 1 >= least
+        if (long & (total[at + 1][None, :] - total[at][:, None] >= 0)).any():
+            links.add((i, j))
+    return links
+
+
+def test_passages_with_changed_words_lose_no_link(spark):
+    """Blocks of one to seven changed words at any place, where the centre of each signature is a text with just a line, and in large groups."""
+    rng, texts = np.random.default_rng(23), {}
+    noise = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [noise(38) for _ in range(3)]
+    for i in range(12):
+        texts[i] = " ".join(noise(15) + lines[i % 3] + noise(15))
+    for k in range(150):
+        changed = k % 7 + 1
+        need = max(8 * (changed + 4), 46 - changed - 4)
+        r1 = int(rng.integers(max(1, need - 45), min(45, need - 1) + 1))
+        r2 = min(45, max(1, need - r1 + k // 7 % 3 - 1))  # one too few, enough, one more
+        one, two = noise(r1 + 4), noise(r2 + 4)
+        if k % 3 == 0 and r1 >= 20:
+            one[: min(38, r1)] = lines[k % 9 // 3][: min(38, r1)]
+        elif k % 3 == 0:
+            two[-min(38, r2) :] = lines[k % 9 // 3][-min(38, r2) :]
+        for j in range(2):
+            block = noise(changed)
+            texts[100 + 2 * k + j] = " ".join(noise(int(rng.integers(0, 30))) + one + block + two + noise(int(rng.integers(0, 30))))
+    template = noise(52)
+    for k in range(60):  # one word changed, at places that differ: neighbours in place meet, others by them
+        words = list(template)
+        words[k % 48 + 2] = f"c{k}"
+        texts[1000 + k] = " ".join(noise(3) + words + noise(3))
+    links = brute_stretches(texts)
+    parent = {i: i for i in texts}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {i: find(i) for pair in links for i in pair}
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == want and len(links) > 80 and len(want) < len(texts) - 80
+    found = substring.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    words = {i: t.split() for i, t in texts.items()}
+    for r in found:
+        a, b = (words[i][s : s + r["n_words"]] for i, s in ((r["doc_id"], r["start"]), (r["rep"], r["rep_start"])))
+        same = [a[k : k + 5] == b[k : k + 5] for k in range(len(a) - 4)]
+        assert len(a) == len(b) == r["n_words"] >= 50 and 9 * sum(same) >= 8 * len(same) and same[0] and same[-1] and r["rep"] < r["doc_id"]
+
+
 def test_compact_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -13,8 +13,14 @@ in which eight of nine aligned shingles agree (similarity 0.8) are verified.
 A star's centre may have the signature without the passage that its other members share. So the members of every signature with a
 document that its centre did not verify, at all their places, are grouped once more, by each whole passage of the window: documents
 with an equal one meet the smallest of them. Thus two documents that share `passage` words exactly are always linked, at a cost
-that follows the length of their windows and never the pairs of a group; passages with changed words are found if they match the
-centre of one of their signatures. Documents linked by verified passages form classes.
+that follows the length of their windows and never the pairs of a group.
+
+Passages with changed words that no centre verified are found by the same means. Every stretch in which eight of nine shingles agree,
+from an agreeing shingle to another, has either a whole passage or one block of changed words with enough agreeing shingles on its
+two sides (`blocks`), nearly half of these in one run. Texts of different classes with such a run, and unlike words after it, are keyed by
+the words around the block, at each division of the shingles between the sides: documents with an equal key are linked whatever the
+block holds, so the smallest of them stands for all, and no pair is left to chance. This is complete for passages of at most ten
+shingle lengths, as by default; of longer ones those with several blocks may be lost. Documents linked by passages form classes.
 
 Null and short texts, null ids and repeats inside one document give no link; equal ids count as one document (the smallest text);
 equal texts are one class; texts of any length are taken whole; other columns stay out; empty tables give no rows.
@@ -103,9 +109,9 @@ def signatures(h: np.ndarray, passage: int, shingle: int, hashes: int):
             yield mix(g[at] + (seed if side > 0 else ~seed)) ^ h[at + side], at, left[ok], right[ok], side
 
 
-def windows(docs: DataFrame, passage: int, shingle: int, hashes: int) -> DataFrame:
-    """(key, doc_id, pos, before, after): signatures of compact windows, at their first place in each document; pos is the minimum's word, before and after the shingles around it."""
-    least = passage - shingle + 1
+def windows(docs: DataFrame, kinds: list[tuple[int, int]], shingle: int) -> DataFrame:
+    """(size, key, doc_id, pos, before, after): signatures of compact windows for each kind (size: words of a passage, hashes), at their first place in each document; pos is the minimum's word, before and after the shingles around it."""
+    least = min(size for size, _ in kinds) - shingle + 1
 
     def run(batches):
         import xxhash
@@ -121,17 +127,19 @@ def windows(docs: DataFrame, passage: int, shingle: int, hashes: int) -> DataFra
                 continue
             start = np.cumsum([1] + [n + 1 for _, n in lengths])[:-1]
             owners, out = np.array([i for i, _ in lengths], dtype=np.int64), []
-            for key, at, left, right, _ in signatures(np.concatenate(parts), passage, shingle, hashes):
-                doc = np.searchsorted(start, at, side="right") - 1
-                out.append((key.view(np.int64), owners[doc], at - start[doc], at - left - 1, right - at - 1))
-            key, doc, pos, before, after = (np.concatenate(c) for c in zip(*out))
-            order = np.lexsort((pos, doc, key))
-            once = np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])][: len(order)]
+            joined = np.concatenate(parts)
+            for size, hashes in kinds:
+                for key, at, left, right, _ in signatures(joined, size, shingle, hashes):
+                    doc = np.searchsorted(start, at, side="right") - 1
+                    out.append((np.full(len(at), size), key.view(np.int64), owners[doc], at - start[doc], at - left - 1, right - at - 1))
+            size, key, doc, pos, before, after = (np.concatenate(c) for c in zip(*out))
+            order = np.lexsort((pos, doc, key, size))
+            once = np.r_[True, (size[order][1:] != size[order][:-1]) | (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])][: len(order)]
             order = order[once]
-            columns = [pa.array(key[order]), pa.array(doc[order]), *(pa.array(c[order].astype(np.int32)) for c in (pos, before, after))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "pos", "before", "after"])
+            columns = [pa.array(size[order].astype(np.int32)), pa.array(key[order]), pa.array(doc[order]), *(pa.array(c[order].astype(np.int32)) for c in (pos, before, after))]
+            yield pa.RecordBatch.from_arrays(columns, names=["size", "key", "doc_id", "pos", "before", "after"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, pos int, before int, after int")
+    return docs.mapInArrow(run, "size int, key long, doc_id long, pos int, before int, after int")
 
 
 def stretches(same: np.ndarray, least: int, penalty: int = 8) -> list[tuple[int, int]]:
@@ -158,7 +166,7 @@ GRID = 64  # words; intervals to cut out are widened to it, so that a document's
 
 
 def each_text(docs: DataFrame, asks: DataFrame, work, schema: str) -> DataFrame:
-    """What work(hashed words, asks) yields, columns after doc_id, for each document of asks (doc_id, asks: an array); each text is read once.
+    """What work(hashed words, asks) yields, columns after doc_id and any others of asks, for each document of asks (doc_id, ..., asks: an array); each text is read once.
 
     A document's asks are distinct intervals of its own grid, or its own signatures: few however many documents they come from.
     """
@@ -168,12 +176,13 @@ def each_text(docs: DataFrame, asks: DataFrame, work, schema: str) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for doc, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "text", "asks"))):
+            for text, wanted, *own in zip(*(batch.column(c) for c in ("text", "asks", *kept))):
                 for columns in work(word_hashes(text.as_py().encode(), xxhash.xxh64_intdigest), wanted.values):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), doc.as_py())), *map(pa.array, columns)], names=names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(columns[0]), x.as_py())) for x in own), *map(pa.array, columns)], names=names)
 
-    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
-    return texts.join(asks, "doc_id").select("doc_id", "text", "asks").mapInArrow(run, f"doc_id long, {schema}")
+    kept = [c for c in asks.columns if c != "asks"]
+    names = [*kept, *(c.split()[0] for c in schema.split(", "))]
+    return texts.join(asks, "doc_id").select("text", "asks", *kept).mapInArrow(run, ", ".join([*(f"{c} long" for c in kept), schema]))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, least: int, shingle: int) -> DataFrame:
@@ -222,21 +231,25 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int, shingle: int) -> Dat
 PASSAGES = "doc_id long, rep long, start int, rep_start int, n_words int, similarity double"
 
 
+def places(hashed: np.ndarray, wanted, passage: int, shingle: int, hashes: int) -> np.ndarray:
+    """Starts of all whole passages inside the windows, at all places, whose signatures are wanted."""
+    least, border, wanted, starts = passage - shingle + 1, np.zeros(1, dtype=np.uint64), np.sort(wanted.to_numpy()), []
+    for key, at, left, right, side in signatures(np.r_[border, shingle_hashes(hashed, shingle), border], passage, shingle, hashes):
+        own = wanted[np.minimum(np.searchsorted(wanted, key.view(np.int64)), len(wanted) - 1)] == key.view(np.int64)
+        at, left, right = at[own], left[own], right[own]
+        # a passage holds the minimum and its partner and stays in the window
+        low, high = np.maximum(left + 1, np.maximum(at, at + side) - (least - 1)), np.minimum(np.minimum(at, at + side), right - least)
+        some = low[:, None] + np.arange(least)
+        starts.append(np.unique(some[some <= high[:, None]]) - 1)
+    return np.unique(np.concatenate(starts))
+
+
 def equal_passages(docs: DataFrame, members: DataFrame, passage: int, shingle: int, hashes: int) -> DataFrame:
     """PASSAGES of equal whole passages inside the windows of members (key, doc_id), at all places; each document meets the smallest that has its passage."""
-    least = passage - shingle + 1
     asks = members.groupBy("doc_id").agg(F.collect_set("key").alias("asks"))
 
     def whole(hashed, wanted):
-        border, wanted, starts = np.zeros(1, dtype=np.uint64), np.sort(wanted.to_numpy()), []
-        for key, at, left, right, side in signatures(np.r_[border, shingle_hashes(hashed, shingle), border], passage, shingle, hashes):
-            own = wanted[np.minimum(np.searchsorted(wanted, key.view(np.int64)), len(wanted) - 1)] == key.view(np.int64)
-            at, left, right = at[own], left[own], right[own]
-            # a passage holds the minimum and its partner and stays in the window
-            low, high = np.maximum(left + 1, np.maximum(at, at + side) - (least - 1)), np.minimum(np.minimum(at, at + side), right - least)
-            some = low[:, None] + np.arange(least)
-            starts.append(np.unique(some[some <= high[:, None]]) - 1)
-        at = np.unique(np.concatenate(starts))
+        at = places(hashed, wanted, passage, shingle, hashes)
         if len(at):
             yield [at.astype(np.int32), *(shingle_hashes(w, passage)[at].view(np.int64) for w in (hashed, mix(hashed)))]
 
@@ -252,12 +265,133 @@ def equal_passages(docs: DataFrame, members: DataFrame, passage: int, shingle: i
     return runs
 
 
+def blocks(least: int, shingle: int, penalty: int = 8) -> list[tuple[int, int]]:
+    """(words, need): lengths of a block of changed words and the agreeing shingles needed on its two sides, fewer than `least` on each.
+
+    A block of w words spoils m = w + shingle - 1 shingles, so penalty * m must agree, and least - m to be long enough. Of a stretch with
+    several blocks and runs r0, r1, ... between them, some block has more than penalty * m beside it: if none had, the sum over all
+    blocks would leave nothing for the inner runs.
+    """
+    spoiled = range(shingle, 2 * (least - 1) // penalty + 1)
+    return [(m - shingle + 1, max(penalty * m, least - m)) for m in spoiled]
+
+
+def changed_passages(docs: DataFrame, members: DataFrame, classes: DataFrame, passage: int, shingle: int) -> DataFrame:
+    """PASSAGES around a block of changed words, between documents of different classes (node, component); members (key, doc_id): signatures of runs."""
+    n, least, kinds = shingle - 1, passage - shingle + 1, blocks(passage - shingle + 1, shingle)
+    run, side, widest = run_words(passage, shingle), least - 1 + shingle - 1, kinds[-1][0]
+    differ = lambda c: F.min(c) != F.max(c)
+    owned = Step(members.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "run-owners")
+    live = owned.df.groupBy("key").agg(differ("component").alias("live")).where("live").select("key")
+    asks = owned.df.join(live, "key").groupBy("doc_id", "component").agg(F.collect_set("key").alias("asks"))
+
+    def sides(hashed, at):
+        """(reverse, start, key, hash, neighbour) of the runs at `at`: with the word after each, then with the word before it."""
+        h, around = shingle_hashes(hashed, run)[at], np.r_[np.zeros(1, dtype=np.uint64), hashed, np.zeros(1, dtype=np.uint64)]
+        for reverse, next_ in ((False, around[at + run + 1]), (True, around[at])):
+            yield reverse, at, mix(h * ODD + mix(next_) + np.uint64(reverse)).view(np.int64), h.view(np.int64), next_.view(np.int64)
+
+    def runs(hashed, wanted):
+        at = places(hashed, wanted, run, shingle, 1)
+        for reverse, _, key, h, next_ in sides(hashed, at) if len(at) else ():
+            first = np.unique(key, return_index=True)[1]
+            yield np.full(len(first), reverse), key[first], h[first], next_[first]
+
+    found = Step(each_text(docs, asks, runs, "reverse boolean, key long, h long, next long"), "runs")
+    # a run matters if another class has it beside another word: of the distinct classes and words, those with the own class or word are not all
+    seen, by = found.df.select("reverse", "h", "component", "next", "key").distinct(), lambda *c: F.count("*").over(Window.partitionBy("h", "reverse", *c))
+    ends = seen.where("next <> 0").select("component", "key", (by() - by("component") - by("next") + 1).alias("others")).where("others > 0")
+    ends = found.df.join(ends.select("component", "key"), ["component", "key"]).groupBy("doc_id", "component").agg(F.collect_set("key").alias("asks"))
+
+    def contexts(hashed, wanted):
+        """Words before a change, whose block begins at column `side`, and after it (zero: none); a change before its run is read backwards."""
+        few, wanted = np.maximum(hashed >> np.uint64(32), np.uint64(1)).astype("<u4"), np.sort(wanted.to_numpy())
+        for reverse, start, key, _, _ in sides(hashed, np.arange(len(hashed) - run + 1)):
+            own = start[wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key]
+            at, text = (len(few) - own, few[::-1]) if reverse else (own + run, few)
+            for k in range(0, len(at), 4096):
+                part = at[k : k + 4096]
+                cut = part[:, None] + np.arange(-side, widest + side)
+                rows, first = np.unique(np.where((cut >= 0) & (cut < len(text)), text[np.clip(cut, 0, len(text) - 1)], np.uint32(0)), axis=0, return_index=True)
+                words = pa.array([r.tobytes() for r in rows], type=pa.binary())
+                yield np.full(len(first), reverse), part[first].astype(np.int32), np.full(len(first), len(text), dtype=np.int32), words
+
+    # of a class, one text stands for all with the same words around a change
+    around = each_text(docs, ends, contexts, "reverse boolean, at int, length int, words binary")
+    around = around.groupBy("component", "reverse", "words").agg(F.min(F.struct("doc_id", "at", "length")).alias("one"))
+    around = Step(around.select("one.*", "component", "reverse", "words"), "changes")
+    found.drop()
+    owned.drop()
+
+    def keyed(rows: DataFrame, divisions: dict[int, list[tuple[int, int]]]) -> DataFrame:
+        """The rows for each block of `some` (all: null) and each division (shingles of the run before it, shingles after it) with their key."""
+
+        def work(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                doc, component, reverse, at, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "reverse", "at", "length"))
+                words = np.frombuffer(b"".join(batch.column("words").to_pylist()), "<u4").reshape(batch.num_rows, -1).astype(np.uint64)
+                some = batch.column("some").to_pylist()
+                total = [np.concatenate([np.zeros((len(words), 1), dtype=np.uint64), np.cumsum(mix(words + ODD * (np.arange(words.shape[1], dtype=np.uint64) + np.uint64(c))), axis=1, dtype=np.uint64)], axis=1) for c in (1, 1000)]
+                for w, pairs in divisions.items():
+                    chosen = np.array([s is None or w in s for s in some])
+                    for r1, r2 in pairs:
+                        low, high = side - r1 - n, side + w + r2 + n
+                        ok = np.flatnonzero(chosen & (at >= r1 + n) & (at + w + r2 + n <= length))
+                        if not len(ok):
+                            continue
+                        seed = np.where(reverse[ok], np.uint64((w << 20 | r1) + (1 << 40)), np.uint64(w << 20 | r1))
+                        h = [mix(mix(t[ok, side] - t[ok, low]) * ODD + mix(t[ok, high] - t[ok, side + w]) + seed).view(np.int64) for t in total]
+                        start = np.where(reverse[ok], length[ok] - at[ok] - (w + r2 + n), at[ok] - r1 - n)
+                        change = np.where(reverse[ok], length[ok] - at[ok] - w, at[ok])
+                        ends_ = (words[ok, side].view(np.int64), words[ok, side + w - 1].view(np.int64))
+                        size = np.full(len(ok), w, dtype=np.int32)
+                        columns = [*h, doc[ok], component[ok], reverse[ok], at[ok], size, *ends_, start.astype(np.int32), (start + (r1 + n + w + r2 + n)).astype(np.int32), change.astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        schema = "h1 long, h2 long, doc_id long, component long, reverse boolean, at int, w int, first long, last long, start int, end int, change int"
+        names = [c.split()[0] for c in schema.split(", ")]
+        return rows.mapInArrow(work, schema)
+
+    shared = lambda rows: rows.groupBy("h1", "h2").agg(differ("component").alias("live"), (differ("first") & differ("last")).alias("unlike"), F.min(F.struct("doc_id", "start", "change")).alias("rep")).where("live and unlike")
+    # the shingles that each block needs at least in its run and beyond it
+    bounds = {w: [((need + 1) // 2, max(1, need - least + 1))] for w, need in kinds}
+    once = Step(keyed(around.df.withColumn("some", F.lit(None).cast("array<int>")), bounds).select("h1", "h2", "doc_id", "component", "reverse", "at", "w", "first", "last", "start", "change"), "block-bounds")
+    some = once.df.join(shared(once.df).select("h1", "h2"), ["h1", "h2"]).groupBy("doc_id", "reverse", "at").agg(F.collect_set("w").alias("some"))
+    every = {w: [(r, need - r) for r in range((need + 1) // 2, min(need - 1, least - 1) + 1)] for w, need in kinds}
+    split = Step(keyed(around.df.join(some, ["doc_id", "reverse", "at"]), every), "block-keys")
+    around.drop()
+    once.drop()
+    reps = Step(shared(split.df).select("h1", "h2", "rep"), "block-centres")
+    met = split.df.join(reps.df, ["h1", "h2"]).where("doc_id <> rep.doc_id").withColumn("shift", F.col("start") - F.col("rep.start"))
+    met = met.groupBy("doc_id", F.col("rep.doc_id").alias("rep"), "shift", "change", "w").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    share = 1 - (F.col("w") + n) / (F.col("end") - F.col("start") - n)
+    linked = Step(met.select("doc_id", "rep", "start", (F.col("start") - F.col("shift")).alias("rep_start"), (F.col("end") - F.col("start")).alias("n_words"), (share / (2 - share)).alias("similarity")), "changed-passages")
+    split.drop()
+    reps.drop()
+    return linked
+
+
+def run_words(passage: int, shingle: int) -> int:
+    """Words that agree in a row on one side of a block of changed words at least; 0 if whole passages hold every stretch."""
+    needs = [need for _, need in blocks(passage - shingle + 1, shingle)]
+    return (min(needs) + 1) // 2 + shingle - 1 if needs else 0
+
+
 def passages(docs: DataFrame, passage: int = 50, shingle: int = 5, hashes: int = 3) -> DataFrame:
     """(doc_id, rep, start, rep_start, n_words, similarity): verified passages that doc_id shares with a smaller document rep; offsets in words."""
     docs, least = id_text(docs), passage - shingle + 1
-    found = Step(windows(docs, passage, shingle, hashes), "windows")
-    twice = found.df.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
-    met = Step(found.df.join(twice, "key"), "met-windows")  # few of all windows
+    run = run_words(passage, shingle)
+    found = Step(windows(docs, [(passage, hashes), (run, 1)] if run else [(passage, hashes)], shingle), "windows")
+
+    def several(size: int, *columns: str) -> Step:
+        """Windows of a kind whose signature two documents have: few of all."""
+        some = found.df.where(F.col("size") == size)
+        twice = some.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
+        return Step(some.select("key", "doc_id", *columns).join(twice, "key"), f"met-windows-{size}")
+
+    met, short = several(passage, "pos", "before", "after"), several(run) if run else None
     found.drop()
     centres = Step(met.df.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "before", "after")).alias("rep")), "centres")
     stars = met.df.join(centres.df, "key").where("doc_id <> rep.doc_id").select(
@@ -275,6 +409,11 @@ def passages(docs: DataFrame, passage: int = 50, shingle: int = 5, hashes: int =
     every = Step(near.df.union(exact.df), "every-passage")
     for step in (met, centres, open_, near, exact):
         step.drop()
+    if run:
+        classes = components(every.df.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+        changed = changed_passages(docs, short.df, classes, passage, shingle)
+        every.df = every.df.union(changed.df)
+        short.drop()
     return every.df
 
 
