@@ -162,6 +162,16 @@ def stretches(same: np.ndarray, least: int, penalty: int = 8) -> list[tuple[int,
     return sorted(found)
 
 
+def around_blocks(same: np.ndarray, least: int, penalty: int = 8) -> list[tuple[int, int]]:
+    """Every block of false values, with the runs of true ones on its two sides, that makes `least` or more with a share of at least penalty / (penalty + 1); runs of `least` by themselves."""
+    edge = np.flatnonzero(np.diff(np.r_[False, same, False].astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    agree, spoiled = (end - start)[:-1] + (end - start)[1:], start[1:] - end[:-1]
+    ok = (agree >= penalty * spoiled) & (agree + spoiled >= least)
+    long = end - start >= least
+    return [*zip(start[:-1][ok].tolist(), end[1:][ok].tolist()), *zip(start[long].tolist(), end[long].tolist())]
+
+
 GRID = 64  # words; intervals to cut out are widened to it, so that a document's are few however many ask
 
 
@@ -185,7 +195,7 @@ def each_text(docs: DataFrame, asks: DataFrame, work, schema: str) -> DataFrame:
     return texts.join(asks, "doc_id").select("text", "asks", *kept).mapInArrow(run, ", ".join([*(f"{c} long" for c in kept), schema]))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: int, shingle: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, least: int, shingle: int, parts=stretches) -> DataFrame:
     """PASSAGES of pairs (doc_id, rep, shift, start, end) of shingle intervals on one diagonal."""
     n = shingle - 1
     low, high = (lambda c: F.floor(c / GRID).cast("int") * GRID), (lambda c: F.ceil((c + n) / GRID).cast("int") * GRID)
@@ -216,7 +226,7 @@ def verified(docs: DataFrame, pairs: DataFrame, least: int, shingle: int) -> Dat
                 m = min(len(a), len(b))
                 equal = np.concatenate([[0], np.cumsum(a[:m] == b[:m])])
                 same = equal[shingle:] - equal[:-shingle] == shingle
-                for s, e in stretches(same, least):
+                for s, e in parts(same, least):
                     share = same[s:e].mean()
                     rows.append((doc, rep, start + s, start + s - shift, e - s + n, share / (2 - share)))
             if rows:
@@ -276,14 +286,39 @@ def blocks(least: int, shingle: int, penalty: int = 8) -> list[tuple[int, int]]:
     return [(m - shingle + 1, max(penalty * m, least - m)) for m in spoiled]
 
 
-def changed_passages(docs: DataFrame, members: DataFrame, classes: DataFrame, passage: int, shingle: int) -> DataFrame:
-    """PASSAGES around a block of changed words, between documents of different classes (node, component); members (key, doc_id): signatures of runs."""
+def owners(members: DataFrame, classes: DataFrame) -> Step:
+    """The members (key, doc_id, ...) of signatures that documents of different classes (node, component) have, with their component."""
+    owned = Step(members.join(classes, F.col("doc_id") == F.col("node"), "left").select(*members.columns, F.coalesce("component", "doc_id").alias("component")), "run-owners")
+    live = owned.df.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    kept = Step(owned.df.join(live, "key"), "run-members")
+    owned.drop()
+    return kept
+
+
+def run_pairs(members: DataFrame, least: int, shingle: int) -> DataFrame:
+    """(doc_id, rep, shift, start, end): documents beside the centre of a run's signature, of another class, with room for a block and a run on both sides.
+
+    A star that joins most classes of a large group at the cost of its members; what it leaves open is keyed by `changed_passages`.
+    """
+    room = least + blocks(least, shingle)[-1][0] + shingle
+    centres = members.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "before", "after", "component")).alias("rep"))
+    stars = members.join(centres, "key").where("component <> rep.component").withColumn("shift", F.col("pos") - F.col("rep.pos")).select(
+        "doc_id", F.col("rep.doc_id").alias("rep"), "shift",
+        F.greatest(F.col("pos") - F.least("before", "rep.before") - room, "shift", F.lit(0)).alias("start"), (F.col("pos") + F.least("after", "rep.after") + 1 + room).alias("end"),
+    )
+    # intervals apart on one diagonal stay apart: texts are long
+    apart = Window.partitionBy("doc_id", "rep", "shift").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a document's own
+    stars = stars.distinct().withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(apart), F.lit(-1))).cast("int"))
+    stars = stars.withColumn("part", F.sum("new").over(apart.rowsBetween(Window.unboundedPreceding, 0)))
+    return stars.groupBy("doc_id", "rep", "shift", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
+
+
+def changed_passages(docs: DataFrame, members: Step, passage: int, shingle: int) -> DataFrame:
+    """PASSAGES around a block of changed words, between documents of different classes; members (key, doc_id, component): signatures of runs. Drops members."""
     n, least, kinds = shingle - 1, passage - shingle + 1, blocks(passage - shingle + 1, shingle)
     run, side, widest = run_words(passage, shingle), least - 1 + shingle - 1, kinds[-1][0]
     differ = lambda c: F.min(c) != F.max(c)
-    owned = Step(members.join(classes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "run-owners")
-    live = owned.df.groupBy("key").agg(differ("component").alias("live")).where("live").select("key")
-    asks = owned.df.join(live, "key").groupBy("doc_id", "component").agg(F.collect_set("key").alias("asks"))
+    asks = members.df.groupBy("doc_id", "component").agg(F.collect_set("key").alias("asks"))
 
     def sides(hashed, at):
         """(reverse, start, key, hash, neighbour) of the runs at `at`: with the word after each, then with the word before it."""
@@ -321,10 +356,10 @@ def changed_passages(docs: DataFrame, members: DataFrame, classes: DataFrame, pa
     around = around.groupBy("component", "reverse", "words").agg(F.min(F.struct("doc_id", "at", "length")).alias("one"))
     around = Step(around.select("one.*", "component", "reverse", "words"), "changes")
     found.drop()
-    owned.drop()
+    members.drop()
 
-    def keyed(rows: DataFrame, divisions: dict[int, list[tuple[int, int]]]) -> DataFrame:
-        """The rows for each block of `some` (all: null) and each division (shingles of the run before it, shingles after it) with their key."""
+    def keyed(rows: DataFrame, divisions: list[tuple[int, int, int, int, int]]) -> DataFrame:
+        """The rows with their key for each division (part, within, words of the block, shingles of the run before it, shingles after it) whose `within` is one of `some`."""
 
         def work(batches):
             for batch in batches:
@@ -332,37 +367,47 @@ def changed_passages(docs: DataFrame, members: DataFrame, classes: DataFrame, pa
                     continue
                 doc, component, reverse, at, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "reverse", "at", "length"))
                 words = np.frombuffer(b"".join(batch.column("words").to_pylist()), "<u4").reshape(batch.num_rows, -1).astype(np.uint64)
-                some = batch.column("some").to_pylist()
+                some = [frozenset(x) for x in batch.column("some").to_pylist()]
+                chosen = {within: np.array([within in x for x in some]) for within in {d[1] for d in divisions}}
                 total = [np.concatenate([np.zeros((len(words), 1), dtype=np.uint64), np.cumsum(mix(words + ODD * (np.arange(words.shape[1], dtype=np.uint64) + np.uint64(c))), axis=1, dtype=np.uint64)], axis=1) for c in (1, 1000)]
-                for w, pairs in divisions.items():
-                    chosen = np.array([s is None or w in s for s in some])
-                    for r1, r2 in pairs:
-                        low, high = side - r1 - n, side + w + r2 + n
-                        ok = np.flatnonzero(chosen & (at >= r1 + n) & (at + w + r2 + n <= length))
-                        if not len(ok):
-                            continue
-                        seed = np.where(reverse[ok], np.uint64((w << 20 | r1) + (1 << 40)), np.uint64(w << 20 | r1))
-                        h = [mix(mix(t[ok, side] - t[ok, low]) * ODD + mix(t[ok, high] - t[ok, side + w]) + seed).view(np.int64) for t in total]
-                        start = np.where(reverse[ok], length[ok] - at[ok] - (w + r2 + n), at[ok] - r1 - n)
-                        change = np.where(reverse[ok], length[ok] - at[ok] - w, at[ok])
-                        ends_ = (words[ok, side].view(np.int64), words[ok, side + w - 1].view(np.int64))
-                        size = np.full(len(ok), w, dtype=np.int32)
-                        columns = [*h, doc[ok], component[ok], reverse[ok], at[ok], size, *ends_, start.astype(np.int32), (start + (r1 + n + w + r2 + n)).astype(np.int32), change.astype(np.int32)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-        schema = "h1 long, h2 long, doc_id long, component long, reverse boolean, at int, w int, first long, last long, start int, end int, change int"
+                for part, within, w, r1, r2 in divisions:
+                    low, high = side - r1 - n, side + w + r2 + n
+                    ok = np.flatnonzero(chosen[within] & (at >= r1 + n) & (at + w + r2 + n <= length))
+                    if not len(ok):
+                        continue
+                    seed = np.where(reverse[ok], np.uint64((w << 20 | r1) + (1 << 40)), np.uint64(w << 20 | r1))
+                    h = [mix(mix(t[ok, side] - t[ok, low]) * ODD + mix(t[ok, high] - t[ok, side + w]) + seed).view(np.int64) for t in total]
+                    start = np.where(reverse[ok], length[ok] - at[ok] - (w + r2 + n), at[ok] - r1 - n)
+                    change = np.where(reverse[ok], length[ok] - at[ok] - w, at[ok])
+                    ends_ = (words[ok, side].view(np.int64), words[ok, side + w - 1].view(np.int64))
+                    sizes = (np.full(len(ok), x, dtype=np.int32) for x in (w, part))
+                    columns = [*h, doc[ok], component[ok], reverse[ok], at[ok], *sizes, *ends_, start.astype(np.int32), (start + (r1 + n + w + r2 + n)).astype(np.int32), change.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        schema = "h1 long, h2 long, doc_id long, component long, reverse boolean, at int, w int, part int, first long, last long, start int, end int, change int"
         names = [c.split()[0] for c in schema.split(", ")]
         return rows.mapInArrow(work, schema)
 
     shared = lambda rows: rows.groupBy("h1", "h2").agg(differ("component").alias("live"), (differ("first") & differ("last")).alias("unlike"), F.min(F.struct("doc_id", "start", "change")).alias("rep")).where("live and unlike")
-    # the shingles that each block needs at least in its run and beyond it
-    bounds = {w: [((need + 1) // 2, max(1, need - least + 1))] for w, need in kinds}
-    once = Step(keyed(around.df.withColumn("some", F.lit(None).cast("array<int>")), bounds).select("h1", "h2", "doc_id", "component", "reverse", "at", "w", "first", "last", "start", "change"), "block-bounds")
-    some = once.df.join(shared(once.df).select("h1", "h2"), ["h1", "h2"]).groupBy("doc_id", "reverse", "at").agg(F.collect_set("w").alias("some"))
-    every = {w: [(r, need - r) for r in range((need + 1) // 2, min(need - 1, least - 1) + 1)] for w, need in kinds}
-    split = Step(keyed(around.df.join(some, ["doc_id", "reverse", "at"]), every), "block-keys")
+    # first what each block needs at least in its run and beyond it, then what few divisions need at least, then each division
+    least_of, few, every = [], [], []
+    for w, need in kinds:
+        low, high = (need + 1) // 2, min(need, least) - 1
+        least_of.append((w, 0, w, low, max(1, need - high)))
+        for r in range(low, high + 1, DIVISIONS):
+            part, last = w << 10 | r, min(high, r + DIVISIONS - 1)
+            few.append((part, w, w, r, need - last))
+            every += [(part, part, w, x, need - x) for x in range(r, last + 1)]
+    some = around.df.withColumn("some", F.array(F.lit(0)))
+    for name, divisions in (("block-bounds", least_of), ("division-bounds", few)):
+        once = Step(keyed(some, divisions).select("h1", "h2", "doc_id", "component", "reverse", "at", "part", "first", "last", "start", "change"), name)
+        parts = once.df.join(shared(once.df).select("h1", "h2"), ["h1", "h2"]).groupBy("doc_id", "reverse", "at").agg(F.collect_set("part").alias("some"))
+        some = Step(around.df.drop("some").join(parts, ["doc_id", "reverse", "at"]), "some-changes")
+        once.drop()
+        around.drop()
+        around, some = some, some.df
+    split = Step(keyed(some, every), "block-keys")
     around.drop()
-    once.drop()
     reps = Step(shared(split.df).select("h1", "h2", "rep"), "block-centres")
     met = split.df.join(reps.df, ["h1", "h2"]).where("doc_id <> rep.doc_id").withColumn("shift", F.col("start") - F.col("rep.start"))
     met = met.groupBy("doc_id", F.col("rep.doc_id").alias("rep"), "shift", "change", "w").agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -373,6 +418,9 @@ def changed_passages(docs: DataFrame, members: DataFrame, classes: DataFrame, pa
     return linked
 
 
+DIVISIONS = 4  # of a block, tried as one before each by itself
+
+
 def run_words(passage: int, shingle: int) -> int:
     """Words that agree in a row on one side of a block of changed words at least; 0 if whole passages hold every stretch."""
     needs = [need for _, need in blocks(passage - shingle + 1, shingle)]
@@ -391,7 +439,7 @@ def passages(docs: DataFrame, passage: int = 50, shingle: int = 5, hashes: int =
         twice = some.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("key")
         return Step(some.select("key", "doc_id", *columns).join(twice, "key"), f"met-windows-{size}")
 
-    met, short = several(passage, "pos", "before", "after"), several(run) if run else None
+    met, short = several(passage, "pos", "before", "after"), several(run, "pos", "before", "after") if run else None
     found.drop()
     centres = Step(met.df.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "before", "after")).alias("rep")), "centres")
     stars = met.df.join(centres.df, "key").where("doc_id <> rep.doc_id").select(
@@ -410,10 +458,15 @@ def passages(docs: DataFrame, passage: int = 50, shingle: int = 5, hashes: int =
     for step in (met, centres, open_, near, exact):
         step.drop()
     if run:
-        classes = components(every.df.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-        changed = changed_passages(docs, short.df, classes, passage, shingle)
-        every.df = every.df.union(changed.df)
+        edges = lambda df: df.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        owned = owners(short.df, components(edges(every.df)))
         short.drop()
+        beside = verified(docs, run_pairs(owned.df, least, shingle), least, shingle, around_blocks)
+        classes = components(edges(every.df.union(beside.df)))
+        members = owners(owned.df.select("key", "doc_id"), classes)
+        owned.drop()
+        changed = changed_passages(docs, members, passage, shingle)
+        every.df = every.df.union(beside.df).union(changed.df)
     return every.df
 
 
