@@ -547,6 +547,26 @@ def test_passages_with_changed_words_lose_no_link(spark):
         assert len(a) == len(b) == r["n_words"] >= 50 and 9 * sum(same) >= 8 * len(same) and same[0] and same[-1] and r["rep"] < r["doc_id"]
 
 
+def test_copies_and_like_surroundings_add_no_rows_to_steps(spark, monkeypatch):
+    """Thirty copies of a text, and a class of thirty texts alike around the end of a line that other classes have: one of each stands for all."""
+    rng, rows = np.random.default_rng(29), {}
+    noise = lambda n: [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    line, before, tail, copied = noise(30), noise(120), noise(120), noise(200)
+    texts = {i: noise(20) + before + line + tail + noise(20) for i in range(30)}
+    texts |= {i: copied for i in range(30, 60)} | {i: noise(70) + line + noise(70) for i in range(60, 63)}
+    init = substring.Step.__init__
+
+    def counted(self, df, name):
+        init(self, df, name)
+        rows[name] = rows.get(name, 0) + self.df.count()
+
+    monkeypatch.setattr(substring.Step, "__init__", counted)
+    got = {r["doc_id"]: r for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == {i: i // 30 * 30 for i in range(60)}
+    assert all(got[i]["spans"] == "0:200" for i in range(30, 60)) and all(got[i]["spans"] == "20:290" for i in range(30))
+    assert rows["runs"] <= 2 * 20 * 4  # places around the line, either way, for one of the class and for each of three others
+
+
 def test_compact_windows_are_those_of_the_cartesian_tree():
     rng = np.random.default_rng(4)
     for _ in range(50):
